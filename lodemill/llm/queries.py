@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lodemill.llm import mixing, url_filter
 from lodemill.llm.common import read
 
 
@@ -13,18 +14,36 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodemill.llm.html_text import extract
+
+    return extract(read(spark, sf_dir, "pages"))
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodemill.llm.token_files import token_digest
 
     return token_digest(spark, read(spark, sf_dir, "documents"), vocabulary(), end_id=0)
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodemill.llm.mixing import mix
+
+    return mix(read(spark, sf_dir, "documents"))
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodemill.llm.url_filter import filter_urls
+
+    return filter_urls(read(spark, sf_dir, "pages"))
+
+
 def op10_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodemill.llm.bpe_trie import bpe_round_trip
 
     return bpe_round_trip(read(spark, sf_dir, "documents"), vocabulary())
 
 
-QUERIES = {f.__name__: f for f in (op2_token_files, op10_bpe_trie)}
+QUERIES = {f.__name__: f for f in (op1_html_text, op2_token_files, op5_mixing, op6_url_filter, op10_bpe_trie)}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op5_mixing": mixing.oracle(), "op6_url_filter": url_filter.oracle()}
