@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodemill.llm.common import slices
-from lodemill.llm.pieces import cut_all, keeps, split_plain
+from lodemill.llm.pieces import BARE, cut_all, keeps, piece, split_plain
 
 
 def byte_symbols() -> dict[str, int]:
@@ -32,7 +32,7 @@ def byte_symbols() -> dict[str, int]:
 class TrieBPE:
     """Encoder and decoder of one vocabulary file (JSON with ``model.vocab``, ``model.merges`` and ``added_tokens``)."""
 
-    def __init__(self, vocabulary: str, limit: int = 300_000):
+    def __init__(self, vocabulary: str, limit: int = 500_000):
         import regex
 
         with open(vocabulary, encoding="utf-8") as f:
@@ -180,21 +180,21 @@ class TrieBPE:
                 memory.clear()
         if len(self.may_follow) > 8 * self.limit:
             self.may_follow.clear()
-        rare = [any(s in t for s in self.special) for t in texts]
+        rare = [BARE in t or any(s in t for s in self.special) for t in texts]
         cut, new = cut_all(["" if r else t for t, r in zip(texts, rare, strict=True)], self.known)
-        known, new = self.known, [p for p in new if p]
-        known.update((p, (",".join(map(str, i)), self.decode_bytes(i))) for p, i in self._learn(new).items())
+        known, learnt = self.known, self._learn([x for p in new if (x := piece(p))])
+        known.update((p, (",".join(map(str, i)), self.decode_bytes(i))) for p in new if (x := piece(p)) for i in (learnt[x],))
         out = []
         for t, c, r in zip(texts, cut, rare, strict=True):
             if r:
                 ids = self._special_text(t)
                 out.append((",".join(map(str, ids)), self.decode_bytes(ids)))
             else:
-                found = [known[p] for p in c if p]
+                found = [known[p] for p in (c if c[0] != BARE else c[1:])]
                 out.append((",".join([x[0] for x in found]), b"".join([x[1] for x in found])))
         for p in new:
             if not keeps(p):
-                del known[p]
+                known.pop(p, None)
         return out
 
 
@@ -213,7 +213,7 @@ def bpe_round_trip(docs: DataFrame, vocabulary: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = trie_bpe(vocabulary)
-        for b in slices(batches, 2048, 8 << 20):
+        for b in slices(batches, 4096, 16 << 20):
             n, ids, decoded = [], [], []
             for s, raw in bpe.batch([t or "" for t in b.column(1).to_pylist()]):
                 n.append(s.count(",") + 1 if s else 0)

@@ -10,27 +10,41 @@ from __future__ import annotations
 import re
 from collections.abc import Container
 
-_OPENING = re.compile(r"(?= (?=\S))")
+_OPENING = re.compile(r" (?=\S)")
+#: Before a piece that no space opens: the first of a text.
+BARE = "\0"
 _PLAIN = re.compile(r"( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
 
 
+def _cut(texts: list[str], split) -> list[list[str]]:
+    cut = list(map(split, texts))
+    for c in cut:
+        c[0] = BARE + c[0]
+    return cut
+
+
 def cut_all(texts: list[str], known: Container[str]) -> tuple[list[list[str]], list[str]]:
-    """Pieces of each text, with the space that opens them, and the distinct ones not in ``known``.
+    """Keys of the pieces of each text, and the distinct ones not in ``known``.
 
-    Plain splitting at spaces is right unless white space stands on both sides of a space; such pieces are empty or
-    begin with white space after their space, and ``known`` never holds them.
+    A key is the piece without the space that opens it, or ``BARE`` and the piece; texts mustn't hold ``BARE``.  Plain
+    splitting at spaces is right unless white space stands on both sides of a space; such pieces are empty or begin
+    with white space, and ``known`` never holds them.
     """
-    cut = [_OPENING.split(t) if "\0" in t else t.replace(" ", "\0 ").split("\0") for t in texts]
+    cut = _cut(texts, lambda t: t.split(" "))
     new = [p for p in set().union(*cut) if p not in known]
-    if any(p[0] == " " and p[1:2].isspace() or p == " " for p in new if p):
-        cut = [_OPENING.split(t) for t in texts]
+    if any(not p or p[0].isspace() for p in new):
+        cut = _cut(texts, _OPENING.split)
         new = [p for p in set().union(*cut) if p not in known]
     return cut, new
 
 
-def keeps(piece: str) -> bool:
+def piece(key: str) -> str:
+    return key[1:] if key[:1] == BARE else " " + key
+
+
+def keeps(key: str) -> bool:
     """Whether a piece may be remembered."""
-    return 1 < len(piece) <= 64 and not (piece[0] == " " and piece[1].isspace())
+    return 0 < len(key) <= 64 and not key[0].isspace()
 
 
 def split_plain(piece: str) -> list[str] | None:

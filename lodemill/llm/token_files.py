@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodemill.llm.common import Scratch, slices
-from lodemill.llm.pieces import cut_all, keeps, split_plain
+from lodemill.llm.pieces import BARE, cut_all, keeps, piece, split_plain
 
 SPECIAL = "<|endoftext|>"
 
@@ -37,7 +37,7 @@ class PieceEncoder:
     ``tok`` is the whole tokenizer; ``inner`` is the same without its split pattern, for single pre-tokens.
     """
 
-    def __init__(self, vocabulary: str, limit: int = 300_000):
+    def __init__(self, vocabulary: str, limit: int = 700_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -58,12 +58,12 @@ class PieceEncoder:
 
     def _learn(self, new: list[str]) -> None:
         known, words = self.known, self.words
-        plain = {p: c for p in new if (c := split_plain(p))}
+        plain = {p: c for p in new if (c := split_plain(piece(p)))}
         missing = [w for w in {w for c in plain.values() for w in c} if w not in words]
         words.update(zip(missing, self._bytes(self.inner, missing), strict=True))
         known.update((p, words[c[0]] if len(c) == 1 else words[c[0]] + words[c[1]]) for p, c in plain.items())
         rest = [p for p in new if p not in plain]
-        known.update(zip(rest, self._bytes(self.tok, rest), strict=True))
+        known.update(zip(rest, self._bytes(self.tok, list(map(piece, rest))), strict=True))
         for w in missing:
             if len(w) > 64:
                 del words[w]
@@ -72,7 +72,7 @@ class PieceEncoder:
         for memory in (self.known, self.words):
             if len(memory) > self.limit:
                 memory.clear()
-        rare = [any(s in t for s in self.special) for t in texts]
+        rare = [BARE in t or any(s in t for s in self.special) for t in texts]
         cut, new = cut_all(["" if r else t for t, r in zip(texts, rare, strict=True)], self.known)
         self._learn(new)
         out = [self._bytes(self.tok, [t])[0] if r else b"".join(map(self.known.__getitem__, c)) for t, c, r in zip(texts, cut, rare, strict=True)]
@@ -128,7 +128,7 @@ def write_token_files(docs: DataFrame, root: str, vocabulary: str, end_id: int =
         enc, part = piece_encoder(vocabulary), TaskContext.get().partitionId()
         end = np.array([end_id], enc.dtype).tobytes()
         ids, counts, doc, valid = [], [0], [], []
-        for b in slices(batches):
+        for b in slices(batches, 4096, 16 << 20):
             found = enc([t or "" for t in b.column(1).to_pylist()])
             ids.append(b"".join(x for e in found for x in (e, end)))
             counts.extend(len(e) // enc.dtype.itemsize + 1 for e in found)
