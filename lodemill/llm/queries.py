@@ -26,6 +26,12 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digest(spark, read(spark, sf_dir, "documents"), vocabulary(), end_id=0)
 
 
+def op3_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodemill.llm.line_crf import quality
+
+    return quality(spark, read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodemill.llm.mixing import mix
 
@@ -38,12 +44,18 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(read(spark, sf_dir, "pages"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodemill.llm.zstd_toxicity import toxicity
+
+    return toxicity(spark, read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op10_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodemill.llm.bpe_trie import bpe_round_trip
 
     return bpe_round_trip(read(spark, sf_dir, "documents"), vocabulary())
 
 
-QUERIES = {f.__name__: f for f in (op1_html_text, op2_token_files, op5_mixing, op6_url_filter, op10_bpe_trie)}
+QUERIES = {f.__name__: f for f in (op1_html_text, op2_token_files, op3_line_quality, op5_mixing, op6_url_filter, op9_toxicity, op10_bpe_trie)}
 
 ORACLES: dict[str, str] = {"op5_mixing": mixing.oracle(), "op6_url_filter": url_filter.oracle()}
