@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodemill.llm import mixing, url_filter
+from lodemill.llm import mixing, topk_search, url_filter
 from lodemill.llm.common import read
 
 
@@ -44,6 +44,18 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(read(spark, sf_dir, "pages"))
 
 
+def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodemill.llm.topk_search import top_k
+
+    return top_k(read(spark, sf_dir, "embeddings"))
+
+
+def op8_phrase_prints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodemill.llm.phrase_prints import fingerprint_documents
+
+    return fingerprint_documents(read(spark, sf_dir, "documents"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodemill.llm.zstd_toxicity import toxicity
 
@@ -56,6 +68,6 @@ def op10_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(read(spark, sf_dir, "documents"), vocabulary())
 
 
-QUERIES = {f.__name__: f for f in (op1_html_text, op2_token_files, op3_line_quality, op5_mixing, op6_url_filter, op9_toxicity, op10_bpe_trie)}
+QUERIES = {f.__name__: f for f in (op1_html_text, op2_token_files, op3_line_quality, op5_mixing, op6_url_filter, op7_top_k, op8_phrase_prints, op9_toxicity, op10_bpe_trie)}
 
-ORACLES: dict[str, str] = {"op5_mixing": mixing.oracle(), "op6_url_filter": url_filter.oracle()}
+ORACLES: dict[str, str] = {"op5_mixing": mixing.oracle(), "op6_url_filter": url_filter.oracle(), "op7_top_k": topk_search.oracle()}
