@@ -1,8 +1,53 @@
-"""Corpus pipeline over ``documents``."""
+"""Corpus pipeline over ``documents``: quality, toxicity, near-duplicates, mixing, token ids.
 
-STAGES: list = []
+Each stage is (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame, which is written and
+read again as the next one's docs.  All but the last keep the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from lodemill.llm import bpe_trie, line_crf, mixing, near_duplicates, zstd_toxicity
+from lodemill.llm.common import Scratch, read
+from lodemill.llm.queries import vocabulary
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the line CRF scores 0.5 or more; it learns from ``documents`` and ``labels`` of ``sf_dir``."""
+    model = line_crf.fit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return line_crf.good_documents(docs, model)
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose compression distance scores below 0.3."""
+    model = zstd_toxicity.fit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return zstd_toxicity.clean_documents(docs, model)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: the one with the smallest doc_id."""
+    return near_duplicates.distinct_documents(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them."""
+    return mixing.mixed_documents(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each."""
+    return bpe_trie.bpe_round_trip(docs, vocabulary())
+
+
+STAGES = [("quality", quality), ("toxicity", toxicity), ("near_dedup", near_dedup), ("mix_sources", mix_sources), ("encode", encode)]
+
+#: SQL expresses neither the models nor the components.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch, docs = Scratch(spark, "pipeline"), read(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = scratch.save(stage(spark, docs, sf_dir), name)
+    return docs

@@ -32,6 +32,12 @@ def op3_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(spark, read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodemill.llm.near_duplicates import near_duplicates
+
+    return near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodemill.llm.mixing import mix
 
@@ -68,6 +74,6 @@ def op10_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(read(spark, sf_dir, "documents"), vocabulary())
 
 
-QUERIES = {f.__name__: f for f in (op1_html_text, op2_token_files, op3_line_quality, op5_mixing, op6_url_filter, op7_top_k, op8_phrase_prints, op9_toxicity, op10_bpe_trie)}
+QUERIES = {f.__name__: f for f in (op1_html_text, op2_token_files, op3_line_quality, op4_near_duplicates, op5_mixing, op6_url_filter, op7_top_k, op8_phrase_prints, op9_toxicity, op10_bpe_trie)}
 
 ORACLES: dict[str, str] = {"op5_mixing": mixing.oracle(), "op6_url_filter": url_filter.oracle(), "op7_top_k": topk_search.oracle()}
