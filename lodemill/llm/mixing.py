@@ -58,8 +58,8 @@ def source_targets(base: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share:
     t = t.withColumn("cap", F.lit(most) * F.col("source_size")).withColumn("fill", F.col("cap") / F.col("weight"))
     full, rest = F.sum("cap").over(by_fill) - F.col("cap"), F.sum("weight").over(all_) - F.sum("weight").over(by_fill) + F.col("weight")
     t = t.withColumn("level", (F.lit(share) * F.sum("source_size").over(all_) - full) / rest)
-    # The first source that isn't full at the level that holds if all before it are.
-    level = F.min(F.when(F.col("level") <= F.col("fill"), F.col("level"))).over(all_)
+    # The level of the first source that isn't full at the level that holds if all before it are.
+    level = F.min_by("level", F.when(F.col("level") <= F.col("fill"), F.struct("fill", "src"))).over(all_)
     return t.select("src", "source_size", F.least("cap", F.coalesce(level, F.lit(float("inf"))) * F.col("weight")).alias("target"))
 
 
@@ -136,7 +136,7 @@ def oracle(table: str = "documents", seed: str = "mix") -> str:
     f AS (SELECT *, cap / weight AS fill FROM r),
     g AS (SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - (sum(cap) OVER (ORDER BY fill, src) - cap))
                     / (sum(weight) OVER () - sum(weight) OVER (ORDER BY fill, src) + weight) AS level FROM f),
-    t AS (SELECT src, source_size, least(cap, coalesce(min(CASE WHEN level <= fill THEN level END) OVER (), 'inf'::DOUBLE) * weight) AS target FROM g),
+    t AS (SELECT src, source_size, least(cap, coalesce((SELECT level FROM g WHERE level <= fill ORDER BY fill, src LIMIT 1), 'inf'::DOUBLE) * weight) AS target FROM g),
     e AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS epochs FROM t),
     p AS (SELECT b.*, source_size, target, epochs, target - epochs * source_size AS rest,
                  sum(size) OVER (PARTITION BY b.src ORDER BY key, doc_id NULLS FIRST, size ROWS UNBOUNDED PRECEDING) - size AS before FROM b JOIN e ON b.src = e.src)
