@@ -1,4 +1,5 @@
 """Queries of the engine's own operators and their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from lodemill.plans.queries import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
