@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -17,6 +20,26 @@ def allele_frequencies(long: DataFrame) -> DataFrame:
     return long.groupBy("variant").agg(af.alias("af"), F.least(af, 1 - af).alias("maf"), F.avg(F.col("dosage").isNull().cast("double")).alias("missing"))
 
 
+def array_frequencies(samples: DataFrame, x: str = "x") -> DataFrame:
+    """(variant_idx, af, maf, missing) of every element of the array ``x``; nothing is exploded: each partition sends one row for each element."""
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = called = None
+        rows = 0
+        for b in batches:
+            if b.num_rows:
+                m = b.column(0).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(b.num_rows, -1)
+                ok = ~np.isnan(m)
+                s, n = np.where(ok, m, 0.0).sum(0), ok.sum(0)
+                total, called, rows = (s, n, len(m)) if total is None else (total + s, called + n, rows + len(m))
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(total)), pa.int32()), pa.array(total), pa.array(called, pa.int64()), pa.array([rows] * len(total), pa.int64())], ["variant_idx", "s", "n", "rows"])
+
+    sums = samples.select(F.col(x).cast("array<double>")).mapInArrow(partial, "variant_idx int, s double, n long, rows long").groupBy("variant_idx").agg(F.sum("s").alias("s"), F.sum("n").alias("n"), F.sum("rows").alias("rows"))
+    af = F.col("s") / F.expr("nullif(n, 0)") / 2
+    return sums.select("variant_idx", af.alias("af"), F.least(af, 1 - af).alias("maf"), (1 - F.col("n") / F.col("rows")).alias("missing"))
+
+
 def filter_maf(long: DataFrame, least: float = 0.05, remove: DataFrame | None = None) -> DataFrame:
     """Rows of variants whose minor allele is at least so frequent, without the samples to remove."""
     if remove is not None:

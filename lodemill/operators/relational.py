@@ -55,11 +55,10 @@ def subset_contributions(phi: Column, used: list[int], p: int, drop_bias: bool =
 
 def align_covariates(ids: DataFrame, covars: DataFrame, key: str = "iid") -> DataFrame:
     """Covariates in the order of ``ids``.  A missing id is an error; repeated covariate rows repeat."""
-    out = ids.join(covars, key, "left").withColumn("_seen", F.lit(True))
     missing = ids.join(covars, key, "left_anti").select(key).take(1)
     if missing:
         raise KeyError(f"no covariates for {key} {missing[0][0]!r}")
-    return out.drop("_seen")
+    return ids.join(covars, key, "left")
 
 
 def drop_ids(df: DataFrame, names: tuple[str, ...] = ("FID", "IID", "fid", "iid")) -> DataFrame:

@@ -175,6 +175,12 @@ def maf_filter(spark, sf):
     return rounded(qc.allele_frequencies(qc.filter_maf(d, 0.495)), "af", "maf", digits=9)
 
 
+@query(f"WITH {T.LONG} SELECT variant AS variant_idx, round(avg(dosage) / 2, 9) AS af, round(least(avg(dosage) / 2, 1 - avg(dosage) / 2), 9) AS maf, 0.0::DOUBLE AS missing FROM long GROUP BY 1")
+def array_frequencies(spark, sf):
+    s = T.samples(spark, sf).withColumn("x", F.transform("x", lambda v: qc.dosage_of(v, 0.085)))
+    return rounded(qc.array_frequencies(s), "af", "maf", digits=9)
+
+
 @query("SELECT l_suppkey AS variant, round(avg((l_quantity > 40)::INT), 9) AS missing FROM lineitem GROUP BY 1")
 def variant_missingness(spark, sf):
     d = T.table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("variant"), F.when(F.col("l_quantity") <= 40, 1.0).alias("dosage"))
@@ -419,7 +425,7 @@ def _stump_data(spark, sf):
     return T.samples(spark, sf).withColumn("x", F.transform(F.slice("x", 1, 8), lambda v: F.when(v < -0.085, 0.0).when(v > 0.085, 2.0).otherwise(1.0)))
 
 
-_STUMP = f"""WITH {T.LONG}, s AS (SELECT variant AS f, dosage AS v, sum(0.5 - y) AS g, count(*) * 0.25 AS h FROM long WHERE variant < 8 GROUP BY 1, 2),
+_STUMP = f"""WITH {T.LONG}, s AS (SELECT variant AS f, dosage AS v, sum(0.5 - y) AS g, count(*) * 0.25::DOUBLE AS h FROM long WHERE variant < 8 GROUP BY 1, 2),
     c AS (SELECT f, v, sum(g) OVER (PARTITION BY f ORDER BY v) - g AS gl, sum(h) OVER (PARTITION BY f ORDER BY v) - h AS hl, sum(g) OVER (PARTITION BY f) AS g, sum(h) OVER (PARTITION BY f) AS h FROM s),
     k AS (SELECT *, 0.5 * (gl * gl / (hl + 1) + (g - gl) * (g - gl) / (h - hl + 1) - g * g / (h + 1)) AS gain FROM c WHERE hl >= 1 AND h - hl >= 1),
     b AS (SELECT * FROM k ORDER BY round(gain, 9) DESC, f, v LIMIT 1)"""

@@ -252,3 +252,16 @@ def test_tree_sql_agrees(spark, data):
 
 def test_registry_has_sql_for_most():
     assert len(queries.QUERIES) >= 70 and len(queries.ORACLES) >= 60
+
+
+def test_preprocess(spark):
+    from lodemill.plans.preprocess import preprocess
+
+    s, v = genotype.simulate(spark, 200, 6, 1)
+    v = v.selectExpr("variant_idx", "name", "1 chr", "100L * variant_idx pos", "0.01D * (variant_idx + 1) p")
+    cov = genotype.simulate_covariates(s).selectExpr("IID iid", "COV1 c1", "COV3 c3")
+    train, test, kept = preprocess(s, v, cov, maf=0.05, share=0.7, clump={"kb": 1.0, "r2": 0.75})
+    assert train.count() == 140 and test.count() == 60 and kept.count() <= 6
+    assert not {r.iid for r in train.collect()} & {r.iid for r in test.collect()}
+    row = train.orderBy("row_idx").first()
+    assert row.row_idx == 0 and len(row.x_adjusted) == kept.count() and row.y_adjusted is not None
