@@ -307,12 +307,65 @@ def test_equal_substrings_share_phrases():
     assert phrase_prints.likeness(a[None], b[None])[0] > 0.9 > 0.3 > phrase_prints.likeness(a[None], c[None])[0]
 
 
-def test_pipeline_stages_keep_the_columns(spark):
+def brute_mix(rows):
+    """(doc_id, times) of rows (doc_id, text, source) by one sort a source."""
+    import math
+    from collections import defaultdict
+
+    import regex
+
+    of = defaultdict(list)
+    for i, t, s in rows:
+        words = [w for w in re.split(r"[\x20\x09-\x0D]+", t) if w]
+        weight = 0.05 + 0.95 * (len(regex.findall(r"\p{L}", t)) / max(1, len(t))) * (len(set(words)) / max(1, len(words)))
+        u = (int(hashlib.md5(f"mix|{i}".encode()).hexdigest()[:13], 16) + 0.5) / 2.0**52
+        of[s].append((-math.log(u) / weight, i, len(words)))
+    names = sorted(of)
+    total, weight = {s: sum(r[2] for r in of[s]) for s in names}, {s: (5, 2, 1)[k % 3] for k, s in enumerate(names)}
+    full = {}
+    while True:
+        rest = [s for s in names if s not in full]
+        level = (1.5 * sum(total.values()) - sum(full.values())) / sum(weight[s] for s in rest)
+        over = [s for s in rest if level * weight[s] > 2 * total[s]]
+        target = full | {s: level * weight[s] for s in rest}
+        if not over:
+            break
+        full |= {s: 2.0 * total[s] for s in over}
+    out = []
+    for s in names:
+        epochs = int(target[s] // total[s]) if total[s] else 0
+        before, left = 0, target[s] - epochs * total[s]
+        for _, i, n in sorted(of[s]):
+            out.append((i, epochs + (before + n / 2 <= left)))
+            before += n
+    return out
+
+
+def test_pipeline_against_brute_force(spark, tokenizer):
     import corpus_pipeline
 
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    columns, scratch = docs.columns, Scratch(spark, "t")
-    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
-        docs = scratch.save(stage(spark, docs, sf), name)
-        assert docs.count() > 0 and (docs.columns == columns or k == 4)
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    rows = [(r.doc_id, r.text, r.source) for r in docs.collect()]
+    good = line_crf.fit(docs, labels).scores([t for _, t, _ in rows])
+    rows = [r for r, s in zip(rows, good, strict=True) if s >= 0.5]
+    toxic = zstd_toxicity.fit(docs, labels).scores([t for _, t, _ in rows])
+    rows = [r for r, s in zip(rows, toxic, strict=True) if s < 0.3]
+    comp, _ = brute_components([r[:2] for r in rows])
+    rows = [r for r in rows if comp[r[0]] == r[0]]
+    text = {i: t for i, t, _ in rows}
+    want = []
+    for i, times in brute_mix(rows):
+        ids = tokenizer.encode(text[i], add_special_tokens=False).ids
+        want += [(i, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())] * times
+    got = corpus_pipeline.run(spark, sf)
+    assert sorted((r.doc_id, r.n_tokens, r.ids_sha256) for r in got.collect()) == sorted(want)
+
+
+def test_pipeline_stages_keep_the_columns(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(40)
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        assert stage(spark, docs, "/root/testdata/sf0.001").columns == docs.columns, name
