@@ -10,8 +10,9 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from lodemill.functions.columns import none_if_none, parse_bool
-from lodemill.operators import boosting, boruta, linear
+from lodemill.operators import boosting, boruta, linear, metrics
 from lodemill.operators.relational import align_covariates, subset_tables
+from lodemill.plans import preprocess as preprocessing
 from lodemill.plans import training
 from lodemill.sources import genotype, sinks
 
@@ -100,6 +101,39 @@ def score(spark, a):
     print(json.dumps(found))
 
 
+def preprocess(spark, a):
+    samples, variants = genotype.read_raw(spark, a.in_raw, a.nrows)
+    train, test, kept = prepared(spark, samples, variants, a.covar, a.maf, a.share, a.seed)
+    for df, name in ((train, "train"), (test, "test")):
+        print(name, "rows, variants:", sinks.write_container(df, kept, f"{a.out}/{name}"))
+
+
+def prepared(spark, samples, variants, covar, maf, share, seed):
+    cov = None
+    if none_if_none(covar):
+        table = genotype.read_covariates(spark, covar)
+        cov = table.withColumnRenamed(table.columns[1], "iid").drop(table.columns[0])
+    return preprocessing.preprocess(samples, variants, cov, maf, share, seed)
+
+
+def run(spark, a):
+    """Everything from the text of dosages to scored predictions of the test set."""
+    samples, variants = genotype.read_raw(spark, a.in_raw, a.nrows)
+    train, test, kept = prepared(spark, samples, variants, a.covar, a.maf, a.share, a.seed)
+    sinks.write_container(train, kept, f"{a.out}/train")
+    sinks.write_container(test, kept, f"{a.out}/test")
+    train, test = (spark.read.parquet(f"{a.out}/{n}/samples") for n in ("train", "test"))
+    x, y = ("x_adjusted", "y_adjusted") if "x_adjusted" in train.columns else ("x", "y")
+    best = training.cross_validate(train, a.n_iter, a.n_fold, a.row_chunks, a.n_boost_round, a.seed, y=y, x=x)
+    sinks.write_csv(best.scores, f"{a.out}/cv_scores.csv")
+    model = training.refit(train, kept, best.params, y=y, x=x, k=a.n_fold, chunk=a.row_chunks)
+    sinks.write_booster(spark, model.booster, f"{a.out}/model")
+    sinks.write_csv(model.importances, f"{a.out}/importances.csv")
+    pred = training.predict(test, kept, model.booster, x)
+    sinks.write_csv(sinks.predictions(pred, platt=model.platt), f"{a.out}/predictions.csv")
+    print(json.dumps({"cv": best.score, "train": model.score, "test_auc": metrics.score(pred.withColumnRenamed("y", "y_true"), "AUC")}))
+
+
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="lodemill")
     p.add_argument("--cluster", default="local")
@@ -124,6 +158,9 @@ def parser() -> argparse.ArgumentParser:
     command(predict, data, ("xkey", text("x")), ("model", need), ("platt", text("none")), ("out", need))
     command(select, data, *keys, ("params", text("{}")), ("out", need), ("n_boost_round", num(20)), ("max_iter", num(30)), ("perc", num(100.0, float)), ("train_split", num(1.0, float)), ("on", text("train")))
     command(score, ("predictions", need), ("covars", need), ("out", need), ("sep", text(",")), ("id", text("IID")), ("model", {"choices": ["ols", "rf", "both"], "default": "both"}))
+    first = [("in_raw", need), ("out", need), ("nrows", num(None)), ("covar", text("none")), ("maf", num(0.05, float)), ("share", num(0.7, float)), ("seed", num(0))]
+    command(preprocess, *first)
+    command(run, *first, ("n_iter", num(5)), ("n_fold", num(5)), ("row_chunks", num(100)), ("n_boost_round", num(50)))
     return p
 
 

@@ -265,3 +265,24 @@ def test_preprocess(spark):
     assert not {r.iid for r in train.collect()} & {r.iid for r in test.collect()}
     row = train.orderBy("row_idx").first()
     assert row.row_idx == 0 and len(row.x_adjusted) == kept.count() and row.y_adjusted is not None
+
+
+def test_command_line(spark, tmp_path):
+    from lodemill import cli
+
+    s, v = genotype.simulate(spark, 120, 4, 2)
+    names = [r["name"] for r in v.orderBy("variant_idx").collect()]
+    rows = s.orderBy("row_idx").collect()
+    raw, cov = tmp_path / "a.raw", tmp_path / "c.txt"
+    raw.write_text(" ".join(["FID IID PAT MAT SEX PHENOTYPE", *names]) + "\n" + "".join(f"{r.fid} {r.iid} 0 0 1 {int(r.phenotype)} {' '.join(str(int(x)) for x in r.x)}\n" for r in rows))
+    cov.write_text("FID IID COV1\n" + "".join(f"{r.fid} {r.iid} {i % 7}.5\n" for i, r in enumerate(rows)))
+    out = str(tmp_path / "out")
+    a = cli.parser().parse_args(["run", "--in_raw", str(raw), "--out", out, "--covar", str(cov), "--n_iter", "1", "--n_fold", "2", "--row_chunks", "10", "--n_boost_round", "2"])
+    a.run(spark, a)
+    pred = spark.read.csv(f"{out}/predictions.csv", header=True, inferSchema=True)
+    assert pred.count() == 36 and pred.where("y_pred_platt_scaled is null").count() == 0
+    b = cli.parser().parse_args(["score", "--predictions", f"{out}/predictions.csv", "--covars", str(cov), "--out", f"{out}/scored", "--id", "iid", "--model", "ols"])
+    b.run(spark, b)
+    assert "OLS_adjusted_y_pred" in spark.read.csv(f"{out}/scored", header=True).columns
+    with pytest.raises(ValueError):
+        cli.session("slurm")
