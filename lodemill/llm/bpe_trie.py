@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodemill.llm.common import slices
-from lodemill.llm.pieces import BARE, cut_all, keeps, piece, split_plain
+from lodemill.llm.pieces import BARE, cut_all, forget, piece, split_plain
 
 
 def byte_symbols() -> dict[str, int]:
@@ -157,7 +157,7 @@ class TrieBPE:
 
     def _learn(self, texts: list[str]) -> dict[str, list[int]]:
         """Ids of whole strings without special tokens."""
-        cut = {t: split_plain(t) or self.split(t) for t in texts}
+        cut = {t: [x for x in m.groups() if x] if (m := split_plain(t)) else self.split(t) for t in texts}
         new = [w for w in {w for c in cut.values() for w in c} if w not in self.words]
         found = self.encode_words([w.encode() for w in new])
         own = {w: found[w.encode()] for w in new}
@@ -192,9 +192,8 @@ class TrieBPE:
             else:
                 found = [known[p] for p in (c if c[0] != BARE else c[1:])]
                 out.append((",".join([x[0] for x in found]), b"".join([x[1] for x in found])))
-        for p in new:
-            if not keeps(p):
-                known.pop(p, None)
+        for p in forget(new):
+            known.pop(p, None)
         return out
 
 

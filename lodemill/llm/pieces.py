@@ -13,7 +13,8 @@ from collections.abc import Container
 _OPENING = re.compile(r" (?=\S)")
 #: Before a piece that no space opens: the first of a text.
 BARE = "\0"
-_PLAIN = re.compile(r"( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
+#: Groups of a word of Latin letters and the punctuation after it, its pre-tokens; None for all else.
+split_plain = re.compile(r"( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
 
 
 def _cut(texts: list[str], split) -> list[list[str]]:
@@ -32,7 +33,7 @@ def cut_all(texts: list[str], known: Container[str]) -> tuple[list[list[str]], l
     """
     cut = _cut(texts, lambda t: t.split(" "))
     new = [p for p in set().union(*cut) if p not in known]
-    if any(not p or p[0].isspace() for p in new):
+    if any(not p or p[0].isspace() for p in new if not p[:1].isalnum()):
         cut = _cut(texts, _OPENING.split)
         new = [p for p in set().union(*cut) if p not in known]
     return cut, new
@@ -42,12 +43,6 @@ def piece(key: str) -> str:
     return key[1:] if key[:1] == BARE else " " + key
 
 
-def keeps(key: str) -> bool:
-    """Whether a piece may be remembered."""
-    return 0 < len(key) <= 64 and not key[0].isspace()
-
-
-def split_plain(piece: str) -> list[str] | None:
-    """Pre-tokens of a word of Latin letters with or without punctuation after it; None for all else."""
-    m = _PLAIN(piece)
-    return [x for x in m.groups() if x] if m else None
+def forget(keys: list[str]) -> list[str]:
+    """Those of the pieces that mustn't be remembered: long ones, and those that plain splitting may get wrong."""
+    return [p for p in keys if len(p) > 64 or not p or p[0].isspace()]

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodemill.llm.common import Scratch, slices
-from lodemill.llm.pieces import BARE, cut_all, keeps, piece, split_plain
+from lodemill.llm.pieces import BARE, cut_all, forget, piece, split_plain
 
 SPECIAL = "<|endoftext|>"
 
@@ -37,7 +37,7 @@ class PieceEncoder:
     ``tok`` is the whole tokenizer; ``inner`` is the same without its split pattern, for single pre-tokens.
     """
 
-    def __init__(self, vocabulary: str, limit: int = 700_000):
+    def __init__(self, vocabulary: str, limit: int = 450_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -57,16 +57,26 @@ class PieceEncoder:
         return [array(code, e.ids).tobytes() for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, new: list[str]) -> None:
-        known, words = self.known, self.words
-        plain = {p: c for p in new if (c := split_plain(piece(p)))}
-        missing = [w for w in {w for c in plain.values() for w in c} if w not in words]
+        known, words, match = self.known, self.words, split_plain
+        plain, rest, missing = [], [], {}
+        for p in new:
+            m = match(p[1:] if p[:1] == BARE else " " + p)
+            if m is None:
+                rest.append(p)
+                continue
+            w, q = m.groups()
+            plain.append((p, w, q))
+            if w not in words:
+                missing[w] = None
+            if q and q not in words:
+                missing[q] = None
+        missing = list(missing)
         words.update(zip(missing, self._bytes(self.inner, missing), strict=True))
-        known.update((p, words[c[0]] if len(c) == 1 else words[c[0]] + words[c[1]]) for p, c in plain.items())
-        rest = [p for p in new if p not in plain]
+        for p, w, q in plain:
+            known[p] = words[w] + words[q] if q else words[w]
         known.update(zip(rest, self._bytes(self.tok, list(map(piece, rest))), strict=True))
-        for w in missing:
-            if len(w) > 64:
-                del words[w]
+        for w in [w for w in missing if len(w) > 64]:
+            del words[w]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         for memory in (self.known, self.words):
@@ -75,10 +85,10 @@ class PieceEncoder:
         rare = [BARE in t or any(s in t for s in self.special) for t in texts]
         cut, new = cut_all(["" if r else t for t, r in zip(texts, rare, strict=True)], self.known)
         self._learn(new)
-        out = [self._bytes(self.tok, [t])[0] if r else b"".join(map(self.known.__getitem__, c)) for t, c, r in zip(texts, cut, rare, strict=True)]
-        for p in new:
-            if not keeps(p):
-                del self.known[p]
+        get = self.known.__getitem__
+        out = [self._bytes(self.tok, [t])[0] if r else b"".join(map(get, c)) for t, c, r in zip(texts, cut, rare, strict=True)]
+        for p in forget(new):
+            del self.known[p]
         return out
 
 
