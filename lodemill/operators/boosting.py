@@ -2,8 +2,8 @@
 
 Rows are binned once: codes 0 to 254 of each feature as bytes, 255 for missing.  For every level of a tree each
 partition adds up its gradient histograms in NumPy and emits one row for each (node, feature); a hash aggregation adds
-those and the best split of each node comes to the driver: 2**depth rows.  Margins are not stored row by row between
-rounds: a task evaluates the trees so far on its own rows, so that lineage stays two steps long.
+those and the best split of each node comes to the driver: 2**depth rows.  A task evaluates the latest trees on its own
+rows; every REBASE trees the margins are stored anew beside the codes.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MISSING = 255
+#: After so many trees margins are brought up to date, so a level evaluates this many trees at most.
+REBASE = 16
 
 
 @dataclass
@@ -214,12 +216,28 @@ def fit(df: DataFrame, config: FitConfig, rounds: int, features: list[str] | Non
         tree = _grow(binned, booster, coded, cols, k)
         booster.trees.append(tree)
         coded.append(_code_tree(tree, cuts))
+        if len(coded) == REBASE:
+            binned, coded = _advanced(binned, coded), []
         if history is not None and metric:
             history.append({"round": r, "metric": metric, "value": _loss(binned, config, coded, metric)})
     binned.unpersist()
     return booster
 
 
+def _advanced(binned: DataFrame, coded: list) -> DataFrame:
+    """The persisted rows with the trees' leaves added to m0."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                yield b.set_column(3, "m0", pa.array(_margin_of(b, coded)))
+
+    out = binned.mapInArrow(run, "row_idx long, y double, code binary, m0 double").persist()
+    out.count()
+    binned.unpersist()
+    return out
+
+
 def _loss(binned: DataFrame, config: FitConfig, coded: list, metric: str) -> float:
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -257,6 +275,7 @@ def _margin_of(b: pa.RecordBatch, coded: list) -> np.ndarray:
 
 def _grow(binned: DataFrame, booster: Booster, coded: list, cols: np.ndarray, k: int) -> list[dict]:
     config, cuts = booster.config, booster.cuts
+    width = max(1, *map(len, cuts)) + 1  # bins, and the missing ones
     leaf = lambda depth: {"depth": depth, "feature": -1, "split": 0.0, "default_left": True, "left": -1, "right": -1, "gain": 0.0, "cover": 0.0, "leaf": 0.0}
     tree = [leaf(0)]
     open_ = [0]
@@ -265,33 +284,41 @@ def _grow(binned: DataFrame, booster: Booster, coded: list, cols: np.ndarray, k:
             break
         last = depth == config.max_depth
         partial = _code_tree(tree, cuts)
-        hist = binned.mapInArrow(_histograms(config, coded, partial, open_, cols[:1] if last else cols, k), "node int, feature int, g array<double>, h array<double>")
-        sums = hist.groupBy("node", "feature").agg(_array_sum("g").alias("g"), _array_sum("h").alias("h"))
-        best = sums.mapInArrow(_splits(config, last), "node int, feature int, bin int, default_left boolean, gain double, g double, h double, gl double, hl double")
-        pick = best.groupBy("node").agg(F.max(F.struct("gain", (-F.col("feature")).alias("nf"), (-F.col("bin")).alias("nb"), "default_left", "g", "h", "gl", "hl")).alias("m"))
+        best: dict[int, tuple] = {}
+        for block in _blocks(cols[:1] if last else cols, len(open_) * width):
+            hist = binned.mapInArrow(_histograms(config, coded, partial, open_, block, k, width), "node int, feature int, g array<double>, h array<double>")
+            sums = hist.groupBy("node", "feature").agg(_array_sum("g", width).alias("g"), _array_sum("h", width).alias("h"))
+            splits = sums.mapInArrow(_splits(config, last), "node int, feature int, bin int, default_left boolean, gain double, g double, h double, gl double, hl double")
+            pick = splits.groupBy("node").agg(F.max(F.struct("gain", (-F.col("feature")).alias("nf"), (-F.col("bin")).alias("nb"), "default_left", "g", "h")).alias("m"))
+            for r in pick.collect():  # one row for each open node
+                best[r.node] = max(best.get(r.node, tuple(r.m)), tuple(r.m))
         grown = []
-        for r in sorted(pick.collect(), key=lambda r: r.node):  # one row for each open node
-            m, node = r.m, tree[r.node]
-            node["cover"], node["leaf"] = m.h, -config.eta * m.g / (m.h + config.reg_lambda)
-            if last or not m.gain > 1e-12:
+        for at, (gain, nf, nb, default, g, h) in sorted(best.items()):
+            node = tree[at]
+            node["cover"], node["leaf"] = h, -config.eta * g / (h + config.reg_lambda)
+            if last or not gain > 1e-12:
                 continue
-            feature, bin_ = -m.nf, -m.nb
-            node |= {"feature": int(feature), "split": float(cuts[feature][bin_]), "default_left": bool(m.default_left), "left": len(tree), "right": len(tree) + 1, "gain": float(m.gain), "leaf": 0.0}
+            node |= {"feature": int(-nf), "split": float(cuts[-nf][-nb]), "default_left": bool(default), "left": len(tree), "right": len(tree) + 1, "gain": float(gain), "leaf": 0.0}
             tree += [leaf(depth + 1), leaf(depth + 1)]
             grown += [node["left"], node["right"]]
         open_ = grown
     return tree
 
 
-def _array_sum(col: str):
+def _blocks(cols: np.ndarray, cells: int, most: int = 16_000_000) -> list[np.ndarray]:
+    """Columns in blocks whose histograms, of so many cells a column, fit into 256 MB."""
+    return np.array_split(cols, max(1, -(-len(cols) * cells // most)))
+
+
+def _array_sum(col: str, width: int):
     """Element sums of arrays: one row for each partition and (node, feature) comes in, so collecting them is bounded by the partitions."""
-    return F.aggregate(F.collect_list(col), F.array_repeat(F.lit(0.0), MISSING + 1), lambda s, a: F.zip_with(s, a, lambda p, q: p + q))
+    return F.aggregate(F.collect_list(col), F.array_repeat(F.lit(0.0), width), lambda s, a: F.zip_with(s, a, lambda p, q: p + q))
 
 
-def _histograms(config: FitConfig, coded: list, partial: list[dict], open_: list[int], cols: np.ndarray, k: int):
+def _histograms(config: FitConfig, coded: list, partial: list[dict], open_: list[int], cols: np.ndarray, k: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = {n: i for i, n in enumerate(open_)}
-        g_sum = np.zeros((len(open_), len(cols), MISSING + 1))
+        g_sum = np.zeros((len(open_), len(cols), width))
         h_sum, seen = np.zeros_like(g_sum), False
         for b in batches:
             if not b.num_rows:
@@ -305,9 +332,9 @@ def _histograms(config: FitConfig, coded: list, partial: list[dict], open_: list
             ok = slot >= 0
             seen = seen or ok.any()
             for j, c in enumerate(cols):
-                flat = slot[ok] * (MISSING + 1) + codes[ok, c]
-                g_sum[:, j] += np.bincount(flat, g[ok], len(open_) * (MISSING + 1)).reshape(len(open_), -1)
-                h_sum[:, j] += np.bincount(flat, h[ok], len(open_) * (MISSING + 1)).reshape(len(open_), -1)
+                flat = slot[ok] * width + np.minimum(codes[ok, c], width - 1)  # the code of missing ones is above all bins
+                g_sum[:, j] += np.bincount(flat, g[ok], len(open_) * width).reshape(len(open_), -1)
+                h_sum[:, j] += np.bincount(flat, h[ok], len(open_) * width).reshape(len(open_), -1)
         if seen:
             n = len(open_) * len(cols)
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(open_, len(cols)), pa.int32()), pa.array(np.tile(cols, len(open_)), pa.int32()), pa.array(list(g_sum.reshape(n, -1)), pa.list_(pa.float64())), pa.array(list(h_sum.reshape(n, -1)), pa.list_(pa.float64()))], ["node", "feature", "g", "h"])
@@ -338,13 +365,13 @@ def _splits(config: FitConfig, last: bool):
                 g, h = gs.sum(), hs.sum()
                 best = (0.0, 0, True, 0.0, 0.0)
                 if not last:
-                    gm, hm = gs[MISSING], hs[MISSING]
+                    gm, hm = gs[-1], hs[-1]
                     for default in (True, False):
-                        gl, hl = np.cumsum(gs[:MISSING])[:-1] + gm * default, np.cumsum(hs[:MISSING])[:-1] + hm * default
+                        gl, hl = np.cumsum(gs[:-1])[:-1] + gm * default, np.cumsum(hs[:-1])[:-1] + hm * default
                         ok = (hl >= config.min_child_weight) & (h - hl >= config.min_child_weight)
                         gain = np.where(ok, split_gain(gl, hl, g, h, config.reg_lambda, config.gamma), -np.inf)
-                        i = int(np.argmax(gain))
-                        if gain[i] > best[0] + 1e-12:
+                        i = int(np.argmax(gain)) if len(gain) else -1
+                        if i >= 0 and gain[i] > best[0] + 1e-12:
                             best = (float(gain[i]), i + 1, default, float(gl[i]), float(hl[i]))
                 out.append((node, feature, best[1], best[2], best[0], g, h, best[3], best[4]))
             kinds = [pa.int32(), pa.int32(), pa.int32(), pa.bool_(), *[pa.float64()] * 5]

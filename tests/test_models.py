@@ -72,6 +72,14 @@ def test_warm_start_equals_one_run(spark, data):
     assert boosting.Booster.from_json(whole.to_json()).to_json() == whole.to_json()
 
 
+def test_margins_are_rebased_without_a_trace(spark, data, monkeypatch):
+    _, _, df = data
+    c = boosting.FitConfig(max_depth=1, eta=0.3)
+    whole = boosting.fit(df, c, 3)
+    monkeypatch.setattr(boosting, "REBASE", 2)
+    assert boosting.fit(df, c, 3).to_json() == whole.to_json()
+
+
 def test_regression_objective_and_errors(spark, data):
     x, y, df = data
     m = boosting.fit(df, boosting.FitConfig(max_depth=1, objective="reg:squarederror"), 1)
@@ -286,3 +294,9 @@ def test_command_line(spark, tmp_path):
     assert "OLS_adjusted_y_pred" in spark.read.csv(f"{out}/scored", header=True).columns
     with pytest.raises(ValueError):
         cli.session("slurm")
+
+
+def test_column_blocks():
+    cols = np.arange(1000)
+    parts = boosting._blocks(cols, 64 * 255)
+    assert len(parts) == 2 and np.array_equal(np.concatenate(parts), cols) and len(boosting._blocks(cols, 4)) == 1
