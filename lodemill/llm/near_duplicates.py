@@ -2,11 +2,12 @@
 
 1. Every document's set of shingle hashes gives its exact class and BANDS band keys of ROWS minima each.  Only class
    representatives (the smallest doc_id) go on.
-2. In every band bucket all members are paired with one leader: stars, never all pairs.  Pairs that pass the size and
-   the signature test are confirmed on full sets.  Connected components of the links.
-3. A link between members of one bucket may have missed its star.  Buckets that hang together form groups; where a
-   group still holds more than one component, its members outside the largest one are compared with all the group's
-   members, packed in blocks of bounded size: by signature, then on full sets.  Nothing is capped.
+2. In every band bucket all members are paired with one leader: stars, never all pairs.  Those pairs that pass the size
+   and the signature test are confirmed on full sets.  Connected components of the links.
+3. A link between members of one bucket may have missed its star.  Buckets that hang together, by all their pairs and
+   not only those of like size, form groups; where a group still holds more than one component, its members outside the
+   largest one are compared with all the group's members, packed in blocks of bounded size: by signature, then on full
+   sets.  Nothing is capped.
 4. Components of the components that those links join.
 """
 
@@ -233,14 +234,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = scratch.save(real.groupBy("k1", "k2").agg(F.min("doc_id").alias("id")), "classes")
     # Repeated doc_ids with other texts: one node.
     nodes = scratch.save(real.join(classes, ["k1", "k2"]).where("doc_id = id").select("id", "n_shingles", "sig", "bands").dropDuplicates(["id", "n_shingles", "sig"]), "nodes")
-    keyed = nodes.select("id", F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
-    leaders = scratch.save(keyed.groupBy("key").agg(F.count("*").alias("k"), F.min(F.struct("id", "n")).alias("m")).where("k > 1").select("key", F.col("m.id").alias("a"), F.col("m.n").alias("m")), "leaders")
-    pairs = keyed.join(leaders, "key").where(f"id <> a and 100 * least(n, m) >= {PERCENT} * greatest(n, m)").selectExpr("a", "id b").distinct()
+    keyed = nodes.select("id", F.explode("bands").alias("key"))
+    leaders = scratch.save(keyed.groupBy("key").agg(F.count("*").alias("k"), F.min("id").alias("a")).where("k > 1").select("key", "a"), "leaders")
+    # Whatever their sizes: two members that link may share buckets only with leaders that neither resembles in size.
+    pairs = keyed.join(leaders, "key").where("id <> a").selectExpr("a", "id b").distinct()
     pairs = scratch.save(pairs, "pairs")
     scratch.drop(leaders)
     ids = scratch.save(pairs.selectExpr("a id").unionAll(pairs.selectExpr("b id")).distinct(), "ids")
-    sig = nodes.select("id", "sig")
-    alike = pairs.join(sig.selectExpr("id a", "sig sa"), "a").join(sig.selectExpr("id b", "sig sb"), "b").select("a", "b", "sa", "sb").mapInArrow(_alike, "a long, b long")
+    sig = nodes.select("id", F.col("n_shingles").alias("n"), "sig")
+    alike = pairs.join(sig.selectExpr("id a", "n na", "sig sa"), "a").join(sig.selectExpr("id b", "n nb", "sig sb"), "b").where(f"100 * least(na, nb) >= {PERCENT} * greatest(na, nb)")
+    alike = alike.select("a", "b", "sa", "sb").mapInArrow(_alike, "a long, b long")
     alike = scratch.save(alike, "alike")
     picked = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     sets = text.withColumnRenamed("doc_id", "id").join(picked, "id", "left_semi").mapInArrow(_sets, "id long, set binary")

@@ -216,6 +216,16 @@ def test_near_duplicates(spark, docs, empty):
     assert {r.doc_id for r in kept.collect()} == {None} | {i for i, c in comp.items() if i == c}
 
 
+def test_near_copies_behind_larger_leaders(spark):
+    """Earlier documents that hold the passage and more lead every bucket; the copies still find each other."""
+    x = [f"p{i}" for i in range(200)]
+    rows = [(i, " ".join([*x, *(f"l{i}_{k}" for k in range(50))])) for i in range(150)]
+    rows += [(1000, " ".join(x)), (1001, " ".join([*x, "end"]))]
+    got = near_duplicates.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    comp, _ = brute_components(rows)
+    assert comp[1001] == 1000 and {r.doc_id: r.component_id for r in got} == comp
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (100, 102), (7, 7), (None, 3), (200, 150), (1, 0)]
     d = spark.createDataFrame(edges, "a long, b long")
