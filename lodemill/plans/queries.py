@@ -25,6 +25,10 @@ def query(sql: str | None = None):
     return add
 
 
+#: Elements of x.  Where a query's SQL takes some of them, a query ..._all beside it takes all and has no SQL.
+WIDTH = 64
+
+
 def rounded(df, *cols, digits=6):
     return df.withColumns({c: F.round(F.col(c), digits) for c in cols})
 
@@ -188,17 +192,27 @@ def variant_missingness(spark, sf):
 
 
 @query(f"WITH {T.LONG} SELECT iid, variant, dosage FROM long WHERE variant < 4 AND iid NOT IN (SELECT doc_id::VARCHAR FROM labels)")
-def sample_removal(spark, sf):
+def sample_removal(spark, sf, features=4):
     ids = T.table(spark, sf, "labels").select(F.col("doc_id").cast("string").alias("iid"))
-    return qc.filter_maf(T.long(spark, sf, 4), 0.0, ids).select("iid", "variant", "dosage")
+    return qc.filter_maf(T.long(spark, sf, features), 0.0, ids).select("iid", "variant", "dosage")
+
+
+@query()
+def sample_removal_all(spark, sf):
+    return sample_removal(spark, sf, WIDTH)
 
 
 @query(f"WITH {T.LONG} SELECT iid, variant, CASE WHEN variant % 2 = 0 THEN dosage ELSE 2 - dosage END AS dosage FROM long WHERE variant < 4")
-def allele_recode(spark, sf):
-    d = T.long(spark, sf, 4)
+def allele_recode(spark, sf, features=4):
+    d = T.long(spark, sf, features)
     return d.select("iid", "variant", qc.recode_dosage(F.col("dosage"), F.when(F.col("variant") % 2 == 0, "A").otherwise("G"), F.lit("A")).alias("dosage"))
 
 
+@query()
+def allele_recode_all(spark, sf):
+    return allele_recode(spark, sf, WIDTH)
+
+
 _LD = f"""WITH {T.LONG}, {T.VARIANTS},
     near AS (SELECT u.chr, u.pos AS a, v.pos AS b, u.variant AS va, v.variant AS vb FROM variants u JOIN variants v ON u.chr = v.chr AND u.pos < v.pos AND v.pos - u.pos <= 1000),
     r AS (SELECT chr, a, b, pow(corr(s.dosage, t.dosage), 2) AS r2 FROM near JOIN long s ON s.variant = va JOIN long t ON t.variant = vb AND t.iid = s.iid GROUP BY 1, 2, 3)"""
@@ -283,10 +297,15 @@ def beta_k2(spark, sf):
 
 
 @query(_BETA2 + " SELECT iid, variant, round(v - b1 * c1 - b2 * c2, 5) AS r FROM c JOIN b USING (variant) WHERE variant < 8")
-def residual_x(spark, sf):
+def residual_x(spark, sf, features=8):
     s, b = _beta2(spark, sf)
     d = linear.residual_matrix(s, ["c1", "c2"], b)
-    return rounded(d.select("iid", F.posexplode(F.slice("x_adjusted", 1, 8)).alias("variant", "r")), "r", digits=5)
+    return rounded(d.select("iid", F.posexplode(F.slice("x_adjusted", 1, features)).alias("variant", "r")), "r", digits=5)
+
+
+@query()
+def residual_x_all(spark, sf):
+    return residual_x(spark, sf, WIDTH)
 
 
 @query(f"WITH {T.CUSTOMERS}, b AS (SELECT regr_slope(y_true, acctbal) AS b FROM customers) SELECT iid, round(y_true - b * acctbal, 6) AS y_adjusted FROM customers, b")
@@ -305,13 +324,27 @@ def adjust_train_test(spark, sf):
     return rounded(a.unionByName(b).select("iid", F.get("x_adjusted", F.lit(0)).alias("x_adjusted"), "y_adjusted"), "x_adjusted", "y_adjusted", digits=5)
 
 
+@query()
+def adjust_train_test_all(spark, sf):
+    """All elements; the first 60 % of the rows train."""
+    s = T.samples(spark, sf).withColumn("c", F.col("row_idx").cast("double"))
+    cut = s.count() * 3 // 5
+    a, b = linear.adjust(s.where(f"row_idx < {cut}"), s.where(f"row_idx >= {cut}"), ["c"])
+    return rounded(a.unionByName(b).select("iid", F.posexplode("x_adjusted").alias("variant", "x_adjusted"), "y_adjusted"), "x_adjusted", "y_adjusted", digits=5)
+
+
 @query(f"""WITH {T.LONG}, d AS (SELECT variant, y, (dosage > 1)::INT AS e FROM long WHERE variant < 16),
     n AS (SELECT variant, sum(e * y) AS a, sum(e * (1 - y)) AS b, sum((1 - e) * y) AS c, sum((1 - e) * (1 - y)) AS d FROM d GROUP BY 1) SELECT variant, round(a * d / (b * c), 5) AS odds_ratio FROM n""")
-def odds_ratio_2x2(spark, sf):
-    d = T.long(spark, sf, 16).withColumn("dosage", (F.col("dosage") > 1).cast("double"))
+def odds_ratio_2x2(spark, sf, features=16):
+    d = T.long(spark, sf, features).withColumn("dosage", (F.col("dosage") > 1).cast("double"))
     return rounded(linear.odds_ratios(d).select("variant", "odds_ratio"), "odds_ratio", digits=5)
 
 
+@query()
+def odds_ratio_2x2_all(spark, sf):
+    return odds_ratio_2x2(spark, sf, WIDTH)
+
+
 # Splits and search
 
 
@@ -421,8 +454,8 @@ def platt_fit(spark, sf):
 # Boosting and explanation
 
 
-def _stump_data(spark, sf):
-    return T.samples(spark, sf).withColumn("x", F.transform(F.slice("x", 1, 8), lambda v: F.when(v < -0.085, 0.0).when(v > 0.085, 2.0).otherwise(1.0)))
+def _stump_data(spark, sf, features=8):
+    return T.samples(spark, sf).withColumn("x", F.transform(F.slice("x", 1, features), lambda v: F.when(v < -0.085, 0.0).when(v > 0.085, 2.0).otherwise(1.0)))
 
 
 _STUMP = f"""WITH {T.LONG}, s AS (SELECT variant AS f, dosage AS v, sum(0.5 - y) AS g, count(*) * 0.25::DOUBLE AS h FROM long WHERE variant < 8 GROUP BY 1, 2),
@@ -431,26 +464,41 @@ _STUMP = f"""WITH {T.LONG}, s AS (SELECT variant AS f, dosage AS v, sum(0.5 - y)
     b AS (SELECT * FROM k ORDER BY round(gain, 9) DESC, f, v LIMIT 1)"""
 
 
-def _stump(spark, sf):
-    return boosting.fit(_stump_data(spark, sf), boosting.FitConfig(max_depth=1, eta=0.3), 1)
+def _stump(spark, sf, features=8):
+    return boosting.fit(_stump_data(spark, sf, features), boosting.FitConfig(max_depth=1, eta=0.3), 1)
 
 
 @query(f"{_STUMP} SELECT f AS feature, v::DOUBLE AS split_value, round(gain, 6) AS gain, round(h, 6) AS cover FROM b")
-def stump_gain(spark, sf):
-    return rounded(_stump(spark, sf).nodes(spark).where("not is_leaf").select("feature", "split_value", "gain", "cover"), "gain", "cover")
+def stump_gain(spark, sf, features=8):
+    return rounded(_stump(spark, sf, features).nodes(spark).where("not is_leaf").select("feature", "split_value", "gain", "cover"), "gain", "cover")
+
+
+@query()
+def stump_gain_all(spark, sf):
+    return stump_gain(spark, sf, WIDTH)
 
 
 @query(f"{_STUMP} SELECT 'left' AS side, round(-0.3 * gl / (hl + 1), 6) AS leaf FROM b UNION ALL SELECT 'right', round(-0.3 * (g - gl) / (h - hl + 1), 6) FROM b")
-def stump_leaf(spark, sf):
-    return rounded(_stump(spark, sf).nodes(spark).where("is_leaf").select(F.when(F.col("node") == 1, "left").otherwise("right").alias("side"), "leaf"), "leaf")
+def stump_leaf(spark, sf, features=8):
+    return rounded(_stump(spark, sf, features).nodes(spark).where("is_leaf").select(F.when(F.col("node") == 1, "left").otherwise("right").alias("side"), "leaf"), "leaf")
+
+
+@query()
+def stump_leaf_all(spark, sf):
+    return stump_leaf(spark, sf, WIDTH)
 
 
 @query(f"WITH {T.LONG} SELECT variant, dosage AS cut FROM long WHERE variant < 8 GROUP BY 1, 2")
-def bin_quantile(spark, sf):
-    cuts = boosting.cut_points(_stump_data(spark, sf))
+def bin_quantile(spark, sf, features=8):
+    cuts = boosting.cut_points(_stump_data(spark, sf, features))
     return spark.createDataFrame([(i, c) for i, cs in enumerate(cuts) for c in cs], "variant int, cut double")
 
 
+@query()
+def bin_quantile_all(spark, sf):
+    return bin_quantile(spark, sf, WIDTH)
+
+
 def _node(feature=-1, split=0.0, left=-1, right=-1, cover=1.0, leaf=0.0, gain=0.0, depth=0):
     return {"depth": depth, "feature": feature, "split": split, "default_left": True, "left": left, "right": right, "gain": gain, "cover": cover, "leaf": leaf}
 
@@ -579,12 +627,17 @@ def tentative_weak(spark, sf):
 
 
 @query(f"WITH {T.LONG} SELECT variant AS j, round(sum(v), 6) AS s, round(min(v), 6) AS lo, round(max(v), 6) AS hi, count(*) AS n FROM long WHERE variant IN (1, 5) GROUP BY 1")
-def shadow_permutation(spark, sf):
-    d = boruta.permuted_columns(T.samples(spark, sf), [1, 5], 4).select(F.posexplode("shadow").alias("k", "v"))
-    j = F.when(F.col("k") == 0, 1).otherwise(5)
+def shadow_permutation(spark, sf, features=(1, 5)):
+    d = boruta.permuted_columns(T.samples(spark, sf), list(features), 4).select(F.posexplode("shadow").alias("k", "v"))
+    j = F.get(F.array(*map(F.lit, features)), F.col("k"))
     return rounded(d.groupBy(j.alias("j")).agg(F.sum("v").alias("s"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("n")), "s", "lo", "hi")
 
 
+@query()
+def shadow_permutation_all(spark, sf):
+    return shadow_permutation(spark, sf, range(WIDTH))
+
+
 # Aggregations
 
 

@@ -300,3 +300,51 @@ def test_column_blocks():
     cols = np.arange(1000)
     parts = boosting._blocks(cols, 64 * 255)
     assert len(parts) == 2 and np.array_equal(np.concatenate(parts), cols) and len(boosting._blocks(cols, 4)) == 1
+
+
+def test_whole_queries_by_brute_force(spark, tmp_path):
+    """Queries ..._all have the rows of every variant, right in each."""
+    rng = np.random.default_rng(8)
+    n, p = 200, queries.WIDTH
+    x = rng.normal(0, 0.125, (n, p)).astype(np.float32).astype(float)
+    label = rng.integers(0, 10, n)
+    y, t = (label < 5).astype(float), np.arange(n, dtype=float)
+    sf = str(tmp_path)
+    spark.createDataFrame([(i, x[i].tolist(), int(label[i])) for i in range(n)], "vec_id long, embedding array<float>, label int").write.parquet(f"{sf}/embeddings.parquet")
+    spark.createDataFrame([(i, 0, 0) for i in range(0, n, 7)], "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+    run = lambda name: queries.QUERIES[name](spark, sf).collect()
+    dose = np.where(x < -0.085, 0.0, np.where(x > 0.085, 2.0, 1.0))
+
+    assert sorted(map(tuple, run("sample_removal_all"))) == sorted((str(i), j, dose[i, j]) for i in range(n) if i % 7 for j in range(p))
+    assert sorted(map(tuple, run("allele_recode_all"))) == sorted((str(i), j, dose[i, j] if j % 2 == 0 else 2 - dose[i, j]) for i in range(n) for j in range(p))
+    b = np.linalg.lstsq(np.column_stack([np.ones(n), t, y]), x, rcond=None)[0]
+    got = {(int(r.iid), r.variant): r.r for r in run("residual_x_all")}
+    assert len(got) == n * p and all(abs(v - (x - np.outer(t, b[1]) - np.outer(y, b[2]))[k]) < 2e-5 for k, v in got.items())
+
+    cut = n * 3 // 5
+    z = (t - t[:cut].mean()) / t[:cut].std()
+    slope = lambda v: (z[:cut] @ (v[:cut] - v[:cut].mean(0))) / (z[:cut] @ z[:cut])
+    xa, ya = x - np.outer(z, slope(x)), y - z * slope(y)
+    got = {(int(r.iid), r.variant): (r.x_adjusted, r.y_adjusted) for r in run("adjust_train_test_all")}
+    assert len(got) == n * p and all(abs(v - xa[k]) < 2e-5 and abs(w - ya[k[0]]) < 2e-5 for k, (v, w) in got.items())
+
+    e = (dose > 1).astype(float)
+    odds = (y @ e) * ((1 - y) @ (1 - e)) / (((1 - y) @ e) * (y @ (1 - e)))
+    got = {r.variant: r.odds_ratio for r in run("odds_ratio_2x2_all")}
+    assert len(got) == p and all(abs(v - odds[j]) < 1e-4 for j, v in got.items())
+
+    best = (-1.0,)
+    g, h = 0.5 - y, n * 0.25
+    for j in range(p):
+        for v in (1.0, 2.0):
+            left = dose[:, j] < v
+            gl, hl = g[left].sum(), left.sum() * 0.25
+            gain = 0.5 * (gl**2 / (hl + 1) + (g.sum() - gl) ** 2 / (h - hl + 1) - g.sum() ** 2 / (h + 1))
+            if gain > best[0]:
+                best = (gain, j, v, -0.3 * gl / (hl + 1), -0.3 * (g.sum() - gl) / (h - hl + 1))
+    (r,) = run("stump_gain_all")
+    assert best[1] >= 8 and (r.feature, r.split_value) == best[1:3] and (r.gain, r.cover) == pytest.approx((best[0], h), abs=1e-5)
+    assert {r.side: r.leaf for r in run("stump_leaf_all")} == pytest.approx({"left": best[3], "right": best[4]}, abs=1e-5)
+    assert sorted(map(tuple, run("bin_quantile_all"))) == [(j, v) for j in range(p) for v in np.unique(dose[:, j])]
+    got = {r.j: (r.s, r.lo, r.hi, r.n) for r in run("shadow_permutation_all")}
+    assert len(got) == p and all(v == pytest.approx((x[:, j].sum(), x[:, j].min(), x[:, j].max(), n), abs=2e-6) for j, v in got.items())
