@@ -25,9 +25,14 @@ _MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>
 _NAMED = re.compile(r"""\b(class|id|role|itemprop|data-y)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _WORD = re.compile(r"[a-z]+|[0-9]+")
 #: Elements whose content isn't markup.
-RAW = frozenset("script style noscript textarea title template iframe svg math select button object".split())
+RAW = frozenset("script style textarea title iframe".split())
+#: Elements of ordinary markup that hold no text of the page.
+ASIDE = frozenset("noscript template svg select button object".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
+INLINE |= frozenset("math semantics annotation annotation-xml mrow mi mn mo ms mtext mspace mfrac msqrt mroot msub msup msubsup munder mover munderover mmultiscripts mprescripts mtable mtr mtd mstyle mpadded mphantom menclose merror".split())
+#: Start tags that end an element of ASIDE which has no end tag of its own.
+BLOCK = frozenset("address article aside blockquote body dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main menu nav ol p pre section table tbody td tfoot th thead tr ul".split())
 #: Which open elements a start tag ends: tag, then the tags it closes, then those beyond which it doesn't look.
 ENDS = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
@@ -53,13 +58,78 @@ class Tree:
         return len(self.tag) - 1
 
 
+def _raw_end(page: str, tag: str, at: int) -> int:
+    stop = re.compile(f"</{re.escape(tag)}\\s*>", re.I).search(page, at)
+    return stop.end() if stop else len(page)
+
+
+def _aside_ends(page: str) -> dict[int, int]:
+    """Start and end of every element of ASIDE.
+
+    Its end tag ends it, nested ones of its kind counted; without one, the next block does, or the end tag of an element
+    around it, or the end of the page.
+    """
+    out: dict[int, int] = {}
+    stack: list[tuple[str, int]] = []  # open elements and where they start
+    count: dict[str, int] = {}
+    fresh: list[int] = []  # open elements of ASIDE without a block so far
+    block: dict[int, int] = {}
+
+    def pop(end: int) -> str:
+        tag, start = stack.pop()
+        count[tag] -= 1
+        if tag in ASIDE:
+            out[start] = block.get(start, end)
+        return tag
+
+    at = 0
+    while m := _MARKUP.search(page, at):
+        at = m.end()
+        slash, name, attrs = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
+        tag = name.lower() if name else ""
+        if not tag or tag in INLINE or tag in VOID and tag not in BLOCK:
+            continue
+        if slash:
+            if tag != "p" and count.get(tag):
+                while stack[-1][0] != tag:
+                    pop(m.start())
+                start = stack[-1][1]
+                pop(at)
+                if tag in ASIDE:
+                    out[start] = at
+            continue
+        if tag in BLOCK:
+            for start in fresh:
+                block[start] = m.start()
+            fresh.clear()
+        if attrs.rstrip().endswith("/"):
+            continue
+        if tag in RAW:
+            at = _raw_end(page, tag, at)
+        elif tag not in VOID:
+            if tag in ("button", "select") and count.get(tag):  # these don't nest
+                while pop(m.start()) != tag:
+                    pass
+            stack.append((tag, m.start()))
+            count[tag] = count.get(tag, 0) + 1
+            if tag in ASIDE:
+                fresh.append(m.start())
+    while stack:
+        pop(len(page))
+    return out
+
+
 def parse(page: str) -> Tree:
-    """Tolerant of missing, misnested and unended tags; comments, scripts, styles and the like leave nothing."""
+    """Tolerant of missing, misnested and unended tags; comments, scripts, styles, buttons and the like leave nothing.
+
+    Only raw text (scripts and such) without an end tag goes to the end of the page.
+    """
     tree = Tree()
     blocks, links = [(0, "#root", "")], 0  # open block elements; open links
     inline: list[str] = []
     run: list[str] = []
     run_linked = 0
+    ends_at: dict[int, int] | None = None
 
     def flush() -> None:
         nonlocal run, run_linked
@@ -112,8 +182,13 @@ def parse(page: str) -> Tree:
             continue
         if tag in RAW:
             if not attrs.rstrip().endswith("/"):
-                stop = re.compile(f"</{re.escape(tag)}\\s*>", re.I).search(page, at)
-                at = stop.end() if stop else end
+                at = _raw_end(page, tag, at)
+            continue
+        if tag in ASIDE:
+            if not attrs.rstrip().endswith("/"):
+                if ends_at is None:
+                    ends_at = _aside_ends(page)
+                at = ends_at[m.start()]
             if tag in ("select", "button"):
                 run.append(" ")
             continue

@@ -87,6 +87,24 @@ def test_html_text(spark):
     assert html_text.extract(d.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("tag", ["button", "select", "object", "svg", "noscript", "template"])
+def test_html_unended_elements(tag):
+    leaves = lambda page: [x for x in html_text.parse(page).text if x]
+    assert leaves(f"<div><{tag}>Menu</div><p>One.</p>") == ["One."]
+    assert leaves(f"<{tag}>Menu<article><p>One.</p></article>") == ["One."]
+    assert leaves(f"<{tag}>Menu<p>One.</p><{tag}>Share</{tag}><p>Two.</p>") == ["One.", "Two."]
+    assert leaves(f"<p>One.</p><{tag}><div>Menu</div></{tag}><p>Two.</p>") == ["One.", "Two."]
+    assert leaves(f"<p>One.</p><{tag}>Menu") == ["One."]
+    assert leaves(f"<{tag}>" * 20000 + "<p>One.</p>") == ["One."]
+
+
+def test_html_nested_objects_and_formulas():
+    leaves = lambda page: [x for x in html_text.parse(page).text if x]
+    assert leaves("<object>a<object>b</object>c</object><p>One.</p>") == ["One."]
+    assert leaves("<p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> be.</p>") == ["Let x=2 be."]
+    assert leaves("<p>One.</p><script>a<p>b") == ["One."]
+
+
 def test_html_model_on_unseen_labelled_pages():
     model, wrong, total = html_text.default_model(), 0, 0
     for page in html_text.labelled_pages(80, seed=77):
