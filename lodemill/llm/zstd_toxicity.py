@@ -107,7 +107,7 @@ class Model:
 
 
 def train(rows: list[tuple[str, int]], extra: list[str] = ()) -> Model:
-    """Every third row fits the curve (all, if they are few), the rest the dictionaries.
+    """Every third row fits the curve (all, if they are few), the rest the dictionaries, with all their windows.
 
     Without toxic rows nothing is toxic: every score is 0.05.
     """
@@ -118,7 +118,7 @@ def train(rows: list[tuple[str, int]], extra: list[str] = ()) -> Model:
     spans = toxic_spans(toxic, ordinary) if toxic else []
     if not spans or not any(y for _, y in held):
         return Model(b"", b"", np.array([math.log(0.05 / 0.95), 0, 0, 0, 0, 0, 0]))
-    model = Model(_dictionary(ORDINARY_BYTES, [w for t in ordinary for w in windows(t)[::2]][:120_000]), _dictionary(TOXIC_BYTES, spans), np.zeros(7))
+    model = Model(_dictionary(ORDINARY_BYTES, [w for t in ordinary for w in windows(t)]), _dictionary(TOXIC_BYTES, spans), np.zeros(7))
     x, y = np.array([model.features(t) for t, _ in held]), np.array([y for _, y in held], float)
     curve = np.zeros(7)
     for _ in range(40):  # Newton steps with a small ridge

@@ -188,6 +188,14 @@ def test_toxicity(spark, docs, empty):
     assert zstd_toxicity.score(d, none).where("predicted = 1").count() == 0
 
 
+def test_toxicity_learns_from_every_window(monkeypatch):
+    rows = [(" ".join(f"w{k}_{i}" for i in range(100)), 0) for k in range(30)] + [(f"{'badword ' * 30} t{k}", 1) for k in range(30)]
+    seen, learn = [], zstd_toxicity._dictionary
+    monkeypatch.setattr(zstd_toxicity, "_dictionary", lambda size, samples: seen.append((size, samples)) or learn(size, samples))
+    zstd_toxicity.train(rows)
+    assert dict(seen)[zstd_toxicity.ORDINARY_BYTES] == [w for t, y in rows if not y for w in zstd_toxicity.windows(t)]
+
+
 def brute_components(rows):
     low = str.maketrans({chr(65 + i): chr(97 + i) for i in range(26)})
     sets = []
