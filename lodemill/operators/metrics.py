@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -72,10 +73,11 @@ def score(df: DataFrame, metric: str, y: str = "y_true", p: str = "y_pred") -> f
     return found(df, y, p).first()[0]
 
 
-def adjusted_auc(df: DataFrame, covars: list[str], y: str = "y_true", p: str = "y_pred", model: str | None = "ols") -> tuple[DataFrame, DataFrame]:
+def adjusted_auc(df: DataFrame, covars: list[str], y: str = "y_true", p: str = "y_pred", model: str | None = "ols", draws: int = 50, trees: int = 1000) -> tuple[DataFrame, DataFrame]:
     """(auc, r2) of predictions whose covariate part is taken off, and the rows with fitted value and residual.
 
-    model None: the plain AUC, r2 null.  r2 is that of the fitted values against y.
+    model None: the plain AUC, r2 null.  r2 is that of the fitted values against y.  model 'rf': a forest of ``trees``
+    trees with the best parameters of ``draws`` random ones.
     """
     if model is None:
         return auc(df, y, p).withColumn("r2", F.lit(None).cast("double")), df
@@ -83,37 +85,55 @@ def adjusted_auc(df: DataFrame, covars: list[str], y: str = "y_true", p: str = "
     if model == "ols":
         rows = fit_ols(ok, covars, p)
     elif model == "rf":
-        rows = _forest(ok, covars, p)
+        rows = _forest(ok, covars, p, draws, trees)
     else:
         raise ValueError(f"unknown model {model!r}")
     return auc(rows, y, "residual").crossJoin(r2(rows, y)), rows  # one row each
 
 
-def _forest(df: DataFrame, covars: list[str], p: str, trees: int = 100, depth: int = 6, seed: int = 0) -> DataFrame:
+def _forest(df: DataFrame, covars: list[str], p: str, draws: int, trees: int, seed: int = 0) -> DataFrame:
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import RandomForestRegressor
 
+    best = tune_forest(df, covars, p, draws, trees, seed=seed)
     rows = VectorAssembler(inputCols=covars, outputCol="_v").transform(df)
-    m = RandomForestRegressor(featuresCol="_v", labelCol=p, numTrees=trees, maxDepth=depth, seed=seed, predictionCol="fitted").fit(rows)
+    m = RandomForestRegressor(featuresCol="_v", labelCol=p, seed=seed, predictionCol="fitted", **best).fit(rows)
     return m.transform(rows).drop("_v").withColumn("residual", F.col(p) - F.col("fitted"))
 
 
-def tune_forest(df: DataFrame, covars: list[str], p: str, n_iter: int = 8, rows: int = 5000, seed: int = 0) -> dict:
-    """Depth and trees of the best of ``n_iter`` random draws by 5-fold cross-validation on at most ``rows`` rows."""
-    import random
+def forest_draws(n: int, trees: int, covars: int, seed: int = 0) -> list[dict]:
+    """Parameters of ``n`` forests: depth 2 + NB(2, 0.45), rows that a split needs 2 + NB(1.5, 0.5), features 3 to 8.
 
+    MLlib bounds the rows of each side of a split, not those of the node: half as many.  Its depth goes to 30.
+    """
+    r = np.random.default_rng(seed)
+    out = []
+    for _ in range(n):
+        depth, rows, features = 2 + r.negative_binomial(2, 0.45), 2 + r.negative_binomial(1.5, 0.5), r.integers(3, 9)
+        out.append({"numTrees": trees, "maxDepth": int(min(30, depth)), "minInstancesPerNode": int(rows // 2), "featureSubsetStrategy": str(features) if features < covars else "all"})
+    return out
+
+
+def forest_sample(df: DataFrame, rows: int, seed: int, folds: int = 5) -> DataFrame:
+    """At most ``rows`` rows, drawn by the hash of all their columns, with their fold ``_fold``."""
+    drawn = df.withColumn("_h", F.xxhash64(F.lit(seed), *[F.col(c) for c in df.columns])).orderBy("_h").limit(rows)
+    return drawn.withColumn("_fold", ((F.row_number().over(W.orderBy("_h")) - 1) % folds).cast("int")).drop("_h")  # bounded by rows
+
+
+def tune_forest(df: DataFrame, covars: list[str], p: str, n_iter: int = 50, trees: int = 1000, rows: int = 5000, seed: int = 0) -> dict:
+    """The best of ``n_iter`` random draws by 5-fold cross-validation on a random sample of at most ``rows`` rows."""
     from pyspark.ml.evaluation import RegressionEvaluator
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import RandomForestRegressor
     from pyspark.ml.tuning import CrossValidator
 
-    r = random.Random(seed)
-    data = VectorAssembler(inputCols=covars, outputCol="_v").transform(df.limit(rows))
+    data = VectorAssembler(inputCols=covars, outputCol="_v").transform(forest_sample(df, rows, seed)).select("_v", p, "_fold").persist()
     model = RandomForestRegressor(featuresCol="_v", labelCol=p, seed=seed)
-    grid = [{model.maxDepth: r.randint(2, 8), model.numTrees: r.choice((10, 20, 40)), model.minInstancesPerNode: r.randint(1, 5)} for _ in range(n_iter)]
-    fit = CrossValidator(estimator=model, estimatorParamMaps=grid, evaluator=RegressionEvaluator(labelCol=p), numFolds=5, seed=seed).fit(data)
-    best = min(zip(fit.avgMetrics, range(n_iter), strict=True))[1]
-    return {k.name: v for k, v in grid[best].items()}
+    drawn = forest_draws(n_iter, trees, len(covars), seed)
+    grid = [{model.getParam(k): v for k, v in d.items()} for d in drawn]
+    fit = CrossValidator(estimator=model, estimatorParamMaps=grid, evaluator=RegressionEvaluator(labelCol=p), numFolds=5, foldCol="_fold", parallelism=4).fit(data)
+    data.unpersist()
+    return drawn[min(zip(fit.avgMetrics, range(n_iter), strict=True))[1]]
 
 
 def newton_sums(df: DataFrame, a: float, b: float, y: str, p: str) -> DataFrame:

@@ -348,3 +348,17 @@ def test_whole_queries_by_brute_force(spark, tmp_path):
     assert sorted(map(tuple, run("bin_quantile_all"))) == [(j, v) for j in range(p) for v in np.unique(dose[:, j])]
     got = {r.j: (r.s, r.lo, r.hi, r.n) for r in run("shadow_permutation_all")}
     assert len(got) == p and all(v == pytest.approx((x[:, j].sum(), x[:, j].min(), x[:, j].max(), n), abs=2e-6) for j, v in got.items())
+
+
+def test_forest_is_searched(spark, monkeypatch):
+    d = spark.range(300).selectExpr("id", "double(id % 2) y_true", "double(id % 7) a", "double(id % 5) b").selectExpr("*", "a * b + sin(id) y_pred")
+    found, search = [], metrics.tune_forest
+    monkeypatch.setattr(metrics, "tune_forest", lambda *a, **k: found.append(search(*a, **k)) or found[-1])
+    table, rows = metrics.adjusted_auc(d, ["a", "b"], model="rf", draws=2, trees=3)
+    assert found[0] in metrics.forest_draws(2, 3, 2) and table.first().auc is not None
+    assert rows.count() == 300 and rows.where("abs(residual - (y_pred - fitted)) > 1e-12").count() == 0
+    draws = metrics.forest_draws(2000, 1000, 20)
+    assert {x["numTrees"] for x in draws} == {1000} and {x["featureSubsetStrategy"] for x in draws} == set("345678")
+    assert abs(np.mean([x["maxDepth"] for x in draws]) - (2 + 2 * 0.55 / 0.45)) < 0.2
+    some = [r.id for r in metrics.forest_sample(d, 100, 0).collect()]
+    assert len(some) == 100 and 120 < np.mean(some) < 180 and sorted(some) == sorted(r.id for r in metrics.forest_sample(d.repartition(7), 100, 0).collect())
