@@ -9,17 +9,18 @@ it doesn't share with the word before.
 
 from __future__ import annotations
 
-import hashlib
 import json
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodemill.llm.common import slices
-from lodemill.llm.pieces import BARE, cut_all, forget, piece, split_plain
+from lodemill.llm.pieces import Ids, PieceCoder
 
 
 def byte_symbols() -> dict[str, int]:
@@ -29,10 +30,18 @@ def byte_symbols() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
 
 
+def _ids(found: Iterable[list[int]]) -> Ids:
+    counts, ids = [], array("i")
+    for i in found:
+        counts.append(len(i))
+        ids.extend(i)
+    return np.array(counts, np.int64), np.array(ids, np.int32)
+
+
 class TrieBPE:
     """Encoder and decoder of one vocabulary file (JSON with ``model.vocab``, ``model.merges`` and ``added_tokens``)."""
 
-    def __init__(self, vocabulary: str, limit: int = 500_000):
+    def __init__(self, vocabulary: str, limit: int = 300_000):
         import regex
 
         with open(vocabulary, encoding="utf-8") as f:
@@ -65,11 +74,11 @@ class TrieBPE:
                     self.spelled.append(-1)
             self.spelled[node] = k
         self.may_follow: dict[int, bool] = {}
-        self.words: dict[str, list[int]] = {}
-        self.known: dict[str, tuple[str, bytes]] = {}
         self.limit = limit
         self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall
         self.parts = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else lambda t: [t]
+        self.spelling = pa.array([self.token.get(i, b"") for i in range(max(self.token) + 1)], pa.large_binary())
+        self.code = PieceCoder(self._words, self._pieces, lambda texts: _ids(map(self.encode, texts)), self.special, np.int32, limit)
 
     def _stable(self, left: int, right: int) -> bool:
         """Whether BPE leaves ``left`` and ``right`` side by side.
@@ -148,53 +157,45 @@ class TrieBPE:
             before = w
         return out
 
-    def decode_bytes(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.token.__getitem__, ids))
-
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: np.ndarray | list[int]) -> str:
         """Text of ``ids``, special tokens included; bytes that aren't UTF-8 become U+FFFD."""
-        return self.decode_bytes(ids).decode("utf-8", "replace")
-
-    def _learn(self, texts: list[str]) -> dict[str, list[int]]:
-        """Ids of whole strings without special tokens."""
-        cut = {t: [x for x in m.groups() if x] if (m := split_plain(t)) else self.split(t) for t in texts}
-        new = [w for w in {w for c in cut.values() for w in c} if w not in self.words]
-        found = self.encode_words([w.encode() for w in new])
-        own = {w: found[w.encode()] for w in new}
-        self.words.update((w, i) for w, i in own.items() if len(w) <= 64)
-        words = self.words
-        return {t: [i for w in c for i in (words[w] if w in words else own[w])] for t, c in cut.items()}
-
-    def _special_text(self, text: str) -> list[int]:
+        return b"".join(self.spelling.take(pa.array(ids, pa.int32())).to_pylist()).decode("utf-8", "replace")
+
+    def decode_all(self, ids: np.ndarray, start: np.ndarray) -> pa.Array:
+        """Texts of ids in a row, each from one place of ``start`` to the next."""
+        spelled = self.spelling.take(pa.array(ids, pa.int32()))
+        ends = np.frombuffer(spelled.buffers()[1], np.int64)[: len(ids) + 1] if len(ids) else np.zeros(1, np.int64)
+        raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start) - 1, [None, pa.py_buffer(ends[start]), spelled.buffers()[2] or pa.py_buffer(b"")])
+        try:
+            return raw.cast(pa.string())
+        except pa.ArrowInvalid:  # bytes that aren't UTF-8
+            return pa.array([x.decode("utf-8", "replace") for x in raw.to_pylist()], pa.string())
+
+    def _words(self, words: list[str]) -> Ids:
+        raw = [w.encode() for w in words]
+        found = self.encode_words(raw)
+        return _ids(map(found.__getitem__, raw))
+
+    def _cut(self, texts: list[str]) -> list[list[int]]:
+        cut = [[w.encode() for w in self.split(t)] for t in texts]
+        found = self.encode_words(list({w for c in cut for w in c}))
+        return [[i for w in c for i in found[w]] for c in cut]
+
+    def _pieces(self, texts: list[str]) -> Ids:
+        return _ids(self._cut(texts))
+
+    def encode(self, text: str) -> list[int]:
+        """Ids of one text, special tokens in it included."""
         parts = self.parts(text)
-        known = self._learn([p for p in parts if p not in self.special])
+        plain = [p for p in parts if p not in self.special]
+        known = dict(zip(plain, self._cut(plain), strict=True))
         return [i for p in parts for i in ([self.special[p]] if p in self.special else known[p])]
 
-    def encode(self, text: str) -> list[int]:
-        return self._special_text(text)
-
-    def batch(self, texts: list[str]) -> list[tuple[str, bytes]]:
-        """For each text: its ids in decimal joined by commas, and the bytes that they decode to."""
-        for memory in (self.known, self.words):
-            if len(memory) > self.limit:
-                memory.clear()
-        if len(self.may_follow) > 8 * self.limit:
+    def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, and where each text's begin."""
+        if len(self.may_follow) > self.limit:
             self.may_follow.clear()
-        rare = [BARE in t or any(s in t for s in self.special) for t in texts]
-        cut, new = cut_all(["" if r else t for t, r in zip(texts, rare, strict=True)], self.known)
-        known, learnt = self.known, self._learn([x for p in new if (x := piece(p))])
-        known.update((p, (",".join(map(str, i)), self.decode_bytes(i))) for p in new if (x := piece(p)) for i in (learnt[x],))
-        out = []
-        for t, c, r in zip(texts, cut, rare, strict=True):
-            if r:
-                ids = self._special_text(t)
-                out.append((",".join(map(str, ids)), self.decode_bytes(ids)))
-            else:
-                found = [known[p] for p in (c if c[0] != BARE else c[1:])]
-                out.append((",".join([x[0] for x in found]), b"".join([x[1] for x in found])))
-        for p in forget(new):
-            known.pop(p, None)
-        return out
+        return self.code(texts)
 
 
 @lru_cache(maxsize=2)
@@ -203,21 +204,43 @@ def trie_bpe(vocabulary: str) -> TrieBPE:
     return TrieBPE(vocabulary)
 
 
-def bpe_round_trip(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of ``docs(doc_id, text)``.
+def encode_documents(docs: DataFrame, vocabulary: str) -> DataFrame:
+    """(doc_id, ids, decoded) of ``docs(doc_id, text)``: token ids, and the text that they decode to.
 
-    Null and empty text have no tokens.  Every row gives a row, repeated and null doc_id included; other columns are
-    not read.
+    Null and empty text have no tokens.  Every row gives a row, repeated and null doc_id included.  A very long text is
+    encoded whole, in memory of about twenty times its size.  Other columns are not read; an empty table gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = trie_bpe(vocabulary)
-        for b in slices(batches, 4096, 16 << 20):
-            n, ids, decoded = [], [], []
-            for s, raw in bpe.batch([t or "" for t in b.column(1).to_pylist()]):
-                n.append(s.count(",") + 1 if s else 0)
-                ids.append(hashlib.sha256(s.encode()).hexdigest())
-                decoded.append(hashlib.sha256(raw.decode("utf-8", "replace").encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids), pa.array(decoded)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+        for b in slices(batches, 4096, 8 << 20):
+            distinct = b.column(1).fill_null("").dictionary_encode()  # copies, which a mix has side by side, are encoded once
+            ids, start = bpe.batch(distinct.dictionary)
+            texts = distinct.indices.to_numpy()
+            # Ids take more room than the texts, so they go on in smaller batches.
+            for lo, hi in runs(np.diff(start)[texts], 1 << 18):
+                part = texts[lo:hi]
+                at = np.concatenate([[0], np.cumsum(np.diff(start)[part])])
+                own = np.concatenate([ids[start[k] : start[k + 1]] for k in part])
+                lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(own))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), lists, bpe.decode_all(own, at)], ["doc_id", "ids", "decoded"])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids array<int>, decoded string")
+
+
+def runs(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of consecutive places whose sizes add up to ``most`` or less, or of one place."""
+    lo = total = 0
+    for k, s in enumerate(sizes.tolist()):
+        if k > lo and total + s > most:
+            yield lo, k
+            lo, total = k, 0
+        total += s
+    if lo < len(sizes):
+        yield lo, len(sizes)
+
+
+def bpe_round_trip(docs: DataFrame, vocabulary: str) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256): digests of ``encode_documents``."""
+    joined = F.concat_ws(",", F.col("ids").cast("array<string>"))
+    return encode_documents(docs, vocabulary).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

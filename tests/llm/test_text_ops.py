@@ -5,6 +5,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -44,10 +45,24 @@ def tokenizer():
 def test_both_encoders_equal_the_library(text):
     enc, bpe = token_files.piece_encoder(vocabulary()), bpe_trie.trie_bpe(vocabulary())
     want = enc.tok.encode(text, add_special_tokens=False).ids
-    assert np.frombuffer(enc([text])[0], enc.dtype).tolist() == want
-    ids, raw = bpe.batch([text])[0]
-    assert ids == ",".join(map(str, want))
-    assert raw.decode("utf-8", "replace") == enc.tok.decode(want, skip_special_tokens=False) == bpe.decode(bpe.encode(text))
+    twice = pa.array([text, "", text])
+    for code in (enc, bpe.batch):
+        ids, start = code(twice)
+        assert ids.tolist() == want * 2 and start.tolist() == [0, len(want), len(want), 2 * len(want)]
+    assert bpe.decode(want) == enc.tok.decode(want, skip_special_tokens=False) == bpe.decode(bpe.encode(text))
+    assert bpe.decode_all(ids, start).to_pylist() == [bpe.decode(want), "", bpe.decode(want)]
+
+
+def test_a_small_memory_gives_the_same_ids():
+    texts = [f"w{k} the, {'x' * (k % 80)} of{k % 7}.\n\n q" for k in range(300)]
+    small, large = token_files.PieceEncoder(vocabulary(), limit=5), token_files.piece_encoder(vocabulary())
+    trie, whole = bpe_trie.TrieBPE(vocabulary(), limit=5), bpe_trie.trie_bpe(vocabulary())
+    for _ in range(2):
+        for i in range(0, 300, 7):
+            some = pa.array(texts[i : i + 7])
+            for one, other in ((small, large), (trie.batch, whole.batch)):
+                assert all((a == b).all() for a, b in zip(one(some), other(some), strict=True))
+    assert len(small.code.known.keys) <= 5 >= len(trie.code.tokens.keys)
 
 
 def test_bpe_rows(spark, docs, empty, tokenizer):
