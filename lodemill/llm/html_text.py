@@ -13,7 +13,7 @@ import html
 import math
 import random
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -21,16 +21,18 @@ from pyspark.sql import DataFrame
 
 from lodemill.llm.common import slices
 
-_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
+_OPEN = re.compile(r"<(?:(!--)|([!?])|(/?)([a-zA-Z][^\s/>]*+))")
+_ATTRS = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+")
 _NAMED = re.compile(r"""\b(class|id|role|itemprop|data-y)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _WORD = re.compile(r"[a-z]+|[0-9]+")
 #: Elements whose content isn't markup.
 RAW = frozenset("script style textarea title iframe".split())
-#: Elements of ordinary markup that hold no text of the page.
-ASIDE = frozenset("noscript template svg select button object".split())
+#: Elements of ordinary markup that hold no text of the page: parts of forms, and what browsers don't show.
+ASIDE = frozenset("noscript template select button".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
 INLINE |= frozenset("math semantics annotation annotation-xml mrow mi mn mo ms mtext mspace mfrac msqrt mroot msub msup msubsup munder mover munderover mmultiscripts mprescripts mtable mtr mtd mstyle mpadded mphantom menclose merror".split())
+INLINE |= frozenset("object svg g text tspan textpath path rect circle ellipse line polyline polygon defs use symbol marker lineargradient radialgradient stop clippath mask pattern filter desc metadata foreignobject".split())
 #: Start tags that end an element of ASIDE which has no end tag of its own.
 BLOCK = frozenset("address article aside blockquote body dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main menu nav ol p pre section table tbody td tfoot th thead tr ul".split())
 #: Which open elements a start tag ends: tag, then the tags it closes, then those beyond which it doesn't look.
@@ -39,6 +41,8 @@ ENDS = {
     "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
     "option": ({"option"}, {"select"}), "body": ({"head"}, {"html"}),
 }
+#: The same for all other blocks: they end a paragraph.
+P_ENDS = ({"p"}, {"td", "th", "li", "table", "body"})
 
 
 class Tree:
@@ -58,6 +62,39 @@ class Tree:
         return len(self.tag) - 1
 
 
+class Tags:
+    """The tags of a page, one after the other, in time proportional to its length.
+
+    A quoted value may hold ``>``.  Where a quote has no partner the tag ends at the next ``>``, and so do all tags up to
+    that quote: they aren't searched for partners again.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.last, self.unquoted = page, page.rfind(">"), 0
+
+    def after(self, at: int) -> tuple[int, int, bool, str, str] | None:
+        """(start, end, whether an end tag, name in lower case, attributes) of the next one; comments and such have no name."""
+        page = self.page
+        while m := _OPEN.search(page, at):
+            start, at = m.span()
+            if m[1] or m[2]:
+                end = page.find("-->" if m[1] else ">", at)
+                return start, len(page) if end < 0 else end + (3 if m[1] else 1), False, "", ""
+            if at > self.last:
+                continue
+            end = -1
+            if start >= self.unquoted:
+                stop = _ATTRS.match(page, at).end()
+                if page.startswith(">", stop):
+                    end = stop
+                else:
+                    self.unquoted = stop + 1
+            if end < 0:
+                end = page.find(">", at)
+            return start, end + 1, bool(m[3]), m[4].lower(), page[at:end]
+        return None
+
+
 def _raw_end(page: str, tag: str, at: int) -> int:
     stop = re.compile(f"</{re.escape(tag)}\\s*>", re.I).search(page, at)
     return stop.end() if stop else len(page)
@@ -82,17 +119,15 @@ def _aside_ends(page: str) -> dict[int, int]:
             out[start] = block.get(start, end)
         return tag
 
-    at = 0
-    while m := _MARKUP.search(page, at):
-        at = m.end()
-        slash, name, attrs = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
-        tag = name.lower() if name else ""
+    at, tags = 0, Tags(page)
+    while found := tags.after(at):
+        began, at, slash, tag, attrs = found
         if not tag or tag in INLINE or tag in VOID and tag not in BLOCK:
             continue
         if slash:
             if tag != "p" and count.get(tag):
                 while stack[-1][0] != tag:
-                    pop(m.start())
+                    pop(began)
                 start = stack[-1][1]
                 pop(at)
                 if tag in ASIDE:
@@ -100,7 +135,7 @@ def _aside_ends(page: str) -> dict[int, int]:
             continue
         if tag in BLOCK:
             for start in fresh:
-                block[start] = m.start()
+                block[start] = began
             fresh.clear()
         if attrs.rstrip().endswith("/"):
             continue
@@ -108,25 +143,47 @@ def _aside_ends(page: str) -> dict[int, int]:
             at = _raw_end(page, tag, at)
         elif tag not in VOID:
             if tag in ("button", "select") and count.get(tag):  # these don't nest
-                while pop(m.start()) != tag:
+                while pop(began) != tag:
                     pass
-            stack.append((tag, m.start()))
+            stack.append((tag, began))
             count[tag] = count.get(tag, 0) + 1
             if tag in ASIDE:
-                fresh.append(m.start())
+                fresh.append(began)
     while stack:
         pop(len(page))
     return out
 
 
+class _Open:
+    """The open block elements, with the places of each tag among them."""
+
+    def __init__(self) -> None:
+        self.blocks = [(0, "#root", "")]
+        self.at: dict[str, list[int]] = {}
+
+    def push(self, node: int, tag: str, attrs: str) -> None:
+        self.at.setdefault(tag, []).append(len(self.blocks))
+        self.blocks.append((node, tag, attrs))
+
+    def cut(self, depth: int) -> None:
+        while len(self.blocks) > depth:
+            self.at[self.blocks.pop()[1]].pop()
+
+    def last(self, tags: Iterable[str]) -> int:
+        """Place of the innermost one, 0 if there is none."""
+        return max((p[-1] for t in tags if (p := self.at.get(t))), default=0)
+
+
 def parse(page: str) -> Tree:
     """Tolerant of missing, misnested and unended tags; comments, scripts, styles, buttons and the like leave nothing.
 
-    Only raw text (scripts and such) without an end tag goes to the end of the page.
+    Only raw text (scripts and such) without an end tag goes to the end of the page.  Time and memory are proportional
+    to the page's length, whatever is in it.
     """
-    tree = Tree()
-    blocks, links = [(0, "#root", "")], 0  # open block elements; open links
+    tree, open_, tags = Tree(), _Open(), Tags(page)
+    blocks = open_.blocks
     inline: list[str] = []
+    count: dict[str, int] = {}  # of the open inline elements
     run: list[str] = []
     run_linked = 0
     ends_at: dict[int, int] | None = None
@@ -143,42 +200,33 @@ def parse(page: str) -> Tree:
         nonlocal run_linked
         text = html.unescape(raw) if "&" in raw else raw
         run.append(text)
-        if links:
+        if count.get("a"):
             run_linked += len(text.strip())
 
     def close(depth: int) -> None:
-        nonlocal links
         flush()
-        del blocks[depth:]
+        open_.cut(depth)
         inline.clear()
-        links = 0
-
-    at, end, n = 0, len(page), 0
-    while at < end:
-        m = _MARKUP.search(page, at)
-        if m is None:
-            say(page[at:])
-            break
-        if m.start() > at:
-            say(page[at : m.start()])
-        at = m.end()
-        slash, name, attrs = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
-        if not name:
+        count.clear()
+
+    at = 0
+    while found := tags.after(at):
+        start, end, slash, tag, attrs = found
+        if start > at:
+            say(page[at:start])
+        at = end
+        if not tag:
             continue
-        tag = name.lower()
         if slash:
             if tag in INLINE:
-                if tag in inline:
-                    while inline and inline.pop() != tag:
-                        pass
-                    links = inline.count("a")
+                if count.get(tag):
+                    while (gone := inline.pop()) != tag:
+                        count[gone] -= 1
+                    count[tag] -= 1
+            elif k := open_.last((tag,)):
+                close(k)
             else:
-                for k in range(len(blocks) - 1, 0, -1):
-                    if blocks[k][1] == tag:
-                        close(k)
-                        break
-                else:
-                    flush()
+                flush()
             continue
         if tag in RAW:
             if not attrs.rstrip().endswith("/"):
@@ -188,7 +236,7 @@ def parse(page: str) -> Tree:
             if not attrs.rstrip().endswith("/"):
                 if ends_at is None:
                     ends_at = _aside_ends(page)
-                at = ends_at[m.start()]
+                at = ends_at.get(start, at)
             if tag in ("select", "button"):
                 run.append(" ")
             continue
@@ -196,35 +244,26 @@ def parse(page: str) -> Tree:
             run.append("\n")
             continue
         if tag in INLINE:
-            inline.append(tag)
-            links += tag == "a"
+            if not attrs.endswith("/") or tag == "a":
+                inline.append(tag)
+                count[tag] = count.get(tag, 0) + 1
             continue
         if tag in VOID:
             if tag == "hr":
                 flush()
             continue
         flush()
-        ends = ENDS.get(tag)
-        if ends:
-            for k in range(len(blocks) - 1, 0, -1):
-                if blocks[k][1] in ends[0]:
-                    close(k)
-                    break
-                if blocks[k][1] in ends[1]:
-                    break
-        else:
-            for k in range(len(blocks) - 1, 0, -1):
-                if blocks[k][1] == "p":
-                    close(k)
-                    break
-                if blocks[k][1] in ("td", "th", "li", "table", "body"):
-                    break
+        ends, beyond = ENDS.get(tag, P_ENDS)
+        if (k := open_.last(ends)) > open_.last(beyond):
+            close(k)
         inline.clear()
-        links = 0
+        count.clear()
         named = " ".join(f"{a.lower()}={v.strip(chr(34) + chr(39))}" for a, v in _NAMED.findall(attrs)) if "=" in attrs else ""
         n = tree.add(blocks[-1][0], tag, named)
         if not attrs.endswith("/"):
-            blocks.append((n, tag, named))
+            open_.push(n, tag, named)
+    if at < len(page):
+        say(page[at:])
     flush()
     return tree
 
@@ -260,7 +299,7 @@ class Model:
         out = ["leaf", f"in {above}", f"length {min(8, n.bit_length())}", f"links {(3 * t.linked[k] + n - 1) // n}"]
         if text[-1] in ".!?…\"”":
             out.append("ends")
-        if "©" in text[:40] or "opyright" in text[:40]:
+        if "©" in text or "opyright" in text:
             out.append("copyright")
         return out, KINDS.get(f"leaf {above}", KINDS["leaf"])
 
@@ -475,7 +514,8 @@ def extract(pages: DataFrame, model: Model | None = None) -> DataFrame:
     """(page_id, url, text, n_chars) of every row of ``pages(page_id, url, html)``.
 
     White space is what Unicode calls so, the no-break space included.  Null, empty and text-free pages have text ''
-    and length 0.  Rows aren't moved, merged or cut; other columns are not read.
+    and length 0.  Rows aren't moved, merged or cut, repeated ones neither; very long pages are parsed whole, in time
+    and memory proportional to their length; an empty table gives no rows; other columns are not read.
     """
     trained = model or default_model()
     weights, edge = trained.weight, trained.edge

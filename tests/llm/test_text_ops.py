@@ -102,7 +102,7 @@ def test_html_text(spark):
     assert html_text.extract(d.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("tag", ["button", "select", "object", "svg", "noscript", "template"])
+@pytest.mark.parametrize("tag", ["button", "select", "noscript", "template"])
 def test_html_unended_elements(tag):
     leaves = lambda page: [x for x in html_text.parse(page).text if x]
     assert leaves(f"<div><{tag}>Menu</div><p>One.</p>") == ["One."]
@@ -115,11 +115,33 @@ def test_html_unended_elements(tag):
 
 def test_html_nested_objects_and_formulas():
     leaves = lambda page: [x for x in html_text.parse(page).text if x]
-    assert leaves("<object>a<object>b</object>c</object><p>One.</p>") == ["One."]
+    assert leaves("<p>As <object data=x>a <object>b</object> c</object> shows.</p>") == ["As a b c shows."]
+    assert leaves("<p>See <svg><g><path d='M0'/><text>axis</text></g></svg> here.</p><svg><p>One.</p>") == ["See axis here.", "One."]
     assert leaves("<p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> be.</p>") == ["Let x=2 be."]
     assert leaves("<p>One.</p><script>a<p>b") == ["One."]
 
 
+@pytest.mark.parametrize("part", ["<a \"", "</x", "<div>", "<b></i>", "<p><b>", "<a \">\" <b '", "<button>", "<td><p>", "<!--", "<", "&amp", "<a class='x", "<script>"])
+def test_html_takes_time_in_proportion_to_the_page(part):
+    import time
+
+    def seconds(n):
+        page = part * (n // len(part))
+        began = time.process_time()
+        html_text.parse(page)
+        return time.process_time() - began
+
+    seconds(1 << 14)
+    assert seconds(1 << 20) < 60 * max(0.05, seconds(1 << 16))
+
+
+def test_html_pages_with_names_never_seen():
+    page = """<body><div class="qzx"><a href=/>Home</a> <a href=/b>About us</a> <a href=/c>Contact</a></div><section id="vrk"><ul><li><a href=/1>One</a></li><li><a href=/2>Two</a></li><li><a href=/3>Three</a></li></ul></section>
+    <article class="wuf"><h1>What the river did last spring</h1><p>It rose above the old bridge, and the town waited for the night to end.</p><p>By morning the water had gone, and the square was full of mud and boats.</p></article>
+    <footer class="jyp">&copy; 2020 Nobody</footer></body>"""
+    assert html_text.default_model().text(page).split("\n") == ["What the river did last spring", "It rose above the old bridge, and the town waited for the night to end.", "By morning the water had gone, and the square was full of mud and boats."]
+
+
 def test_html_model_on_unseen_labelled_pages():
     model, wrong, total = html_text.default_model(), 0, 0
     for page in html_text.labelled_pages(80, seed=77):
@@ -369,7 +391,7 @@ def brute_mix(rows):
     for i, t, s in rows:
         words = [w for w in re.split(r"[\x20\x09-\x0D]+", t) if w]
         weight = 0.05 + 0.95 * (len(regex.findall(r"\p{L}", t)) / max(1, len(t))) * (len(set(words)) / max(1, len(words)))
-        u = (int(hashlib.md5(f"mix|{i}".encode()).hexdigest()[:13], 16) + 0.5) / 2.0**52
+        u = (int(hashlib.md5(f"mix|{i}|{hashlib.md5(t.encode()).hexdigest()}".encode()).hexdigest()[:13], 16) + 0.5) / 2.0**52
         of[s].append((-math.log(u) / weight, i, len(words)))
     names = sorted(of)
     total, weight = {s: sum(r[2] for r in of[s]) for s in names}, {s: (5, 2, 1)[k % 3] for k, s in enumerate(names)}
