@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodemill.llm.common import Scratch
+from lodemill.llm.common import Scratch, prefix_sums
 
 LEVELS, FAN = 3, 256
 
@@ -28,9 +28,13 @@ def quality_weight(text: Column, words: Column) -> Column:
     return F.lit(0.05) + F.lit(0.95) * F.coalesce(letters, F.lit(0.0)) * distinct
 
 
-def sampling_key(doc_id: Column, weight: Column, seed: str) -> Column:
-    """-ln(u) / weight, with u in (0, 1) from 52 bits of md5(seed|doc_id); null doc_id counts as ''."""
-    bits = F.conv(F.substring(F.md5(F.concat(F.lit(seed + "|"), F.coalesce(doc_id.cast("string"), F.lit("")))), 1, 13), 16, 10)
+def sampling_key(doc_id: Column, text: Column, weight: Column, seed: str) -> Column:
+    """-ln(u) / weight, with u in (0, 1) from 52 bits of md5(seed|doc_id|md5(text)); null counts as ''.
+
+    The text is part of it, so that rows without a doc_id, or with a repeated one, don't all stand in one place.
+    """
+    own = F.concat_ws("|", F.lit(seed), F.coalesce(doc_id.cast("string"), F.lit("")), F.md5(F.coalesce(text, F.lit(""))))
+    bits = F.conv(F.substring(F.md5(own), 1, 13), 16, 10)
     return -F.log((bits.cast("double") + 0.5) / F.lit(float(1 << 52))) / weight
 
 
@@ -41,31 +45,36 @@ def drawn(docs: DataFrame, seed: str = "mix") -> DataFrame:
     return (
         docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"))
         .select("doc", src.alias("src"), words.alias("w"))
-        .select("doc", "src", F.size("w").cast("long").alias("size"), sampling_key(F.col("doc.doc_id"), quality_weight(F.col("doc.text"), F.col("w")), seed).alias("key"))
+        .select("doc", "src", F.size("w").cast("long").alias("size"), sampling_key(F.col("doc.doc_id"), F.col("doc.text"), quality_weight(F.col("doc.text"), F.col("w")), seed).alias("key"))
     )
 
 
-def source_targets(base: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
+def source_targets(base: DataFrame, scratch: Scratch, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
     """(src, source_size, target) of each source; sources in code point order, null last, weigh ``weights`` in turn.
 
     Water-filling: targets are ``level * weight``, but at most ``most`` times the size; sources in order of the level
-    at which they are full, the level is right after the last full one.  The windows hold one row for each source.
+    at which they are full, the level is right after the last full one.  Places and sums go by ranges of sources, so
+    there may be as many sources as there are hosts.
     """
-    all_, by_fill = W.partitionBy(), W.partitionBy().orderBy("fill", "src")
-    rn = F.row_number().over(W.partitionBy().orderBy("src"))
-    t = base.groupBy("src").agg(F.sum("size").alias("source_size"))
-    t = t.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), ((rn - 1) % len(weights) + 1).cast("int")))
+    t = scratch.save(base.groupBy("src").agg(F.sum("size").alias("source_size")).withColumn("one", F.lit(1)), "sizes")
+    t = prefix_sums(t, ["src"], {"place": "one"}, scratch)
+    t = t.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (F.col("place").cast("long") % len(weights) + 1).cast("int")))
     t = t.withColumn("cap", F.lit(most) * F.col("source_size")).withColumn("fill", F.col("cap") / F.col("weight"))
-    full, rest = F.sum("cap").over(by_fill) - F.col("cap"), F.sum("weight").over(all_) - F.sum("weight").over(by_fill) + F.col("weight")
-    t = t.withColumn("level", (F.lit(share) * F.sum("source_size").over(all_) - full) / rest)
+    t = scratch.save(prefix_sums(t, ["fill", "src"], {"full": "cap", "past": "weight"}, scratch), "filled")
+    total = t.agg(F.sum("source_size").cast("double").alias("size"), F.sum("weight").cast("double").alias("weight")).first()
+    size, weight = total["size"] or 0.0, total["weight"] or 0.0
+    t = t.withColumn("level", (F.lit(share) * F.lit(size) - F.col("full")) / (F.lit(weight) - F.col("past")))
     # The level of the first source that isn't full at the level that holds if all before it are.
-    level = F.min_by("level", F.when(F.col("level") <= F.col("fill"), F.struct("fill", "src"))).over(all_)
-    return t.select("src", "source_size", F.least("cap", F.coalesce(level, F.lit(float("inf"))) * F.col("weight")).alias("target"))
+    level = t.where(F.col("level") <= F.col("fill")).agg(F.min_by("level", F.struct("fill", "src"))).first()[0]
+    return t.select("src", "source_size", F.least("cap", F.lit(float("inf") if level is None else level) * F.col("weight")).alias("target"))
 
 
 def _range_no(key: Column, level: int) -> Column:
-    """Number of the key's range at ``level``; 1 - exp(-key) lies in 0 to 1 and grows with the key."""
-    return F.floor((F.lit(1.0) - F.exp(-key)) * float(FAN**level)).cast("long")
+    """Number of the key's range at ``level``; 1 - 1 / (1 + key) grows with the key and stays below 1 for every key there is.
+
+    It leaves room for the large keys of low weights: a unit of key at 700 still has 34 ranges of the last level.
+    """
+    return F.floor((F.lit(1.0) - F.lit(1.0) / (F.lit(1.0) + key)) * float(FAN**level)).cast("long")
 
 
 def cut_points(base: DataFrame, targets: DataFrame, scratch: Scratch) -> DataFrame:
@@ -102,21 +111,25 @@ def taken_times(cuts_at: Column) -> Column:
 def _cut(spark, base: DataFrame, seed: str) -> tuple[DataFrame, DataFrame]:
     scratch = Scratch(spark, "mix")
     small = scratch.save(drawn(base, seed).select("doc.doc_id", "src", "size", "key"), "drawn")
-    return small, cut_points(small, scratch.save(source_targets(small), "sources"), scratch)
+    return small, cut_points(small, scratch.save(source_targets(small, scratch), "sources"), scratch)
 
 
 def mix(docs: DataFrame, seed: str = "mix") -> DataFrame:
     """(doc_id, size, source_size, target, taken) of every row of ``docs(doc_id, text, source)``.
 
-    Size is the number of words, 0 for null text; null is a source of its own, the last.  Rows of equal doc_id draw
-    equal keys and stand in order of size.  Sources without words, and empty tables, take nothing.
+    Size is the number of words, 0 for null text; null is a source of its own, the last.  The key comes from doc_id and
+    text, so only whole copies, of both, are taken alike.  Sources without words, and empty tables, take nothing; a very
+    long text is one document, taken or not.  Other columns are not read.
     """
     small, cuts = _cut(docs.sparkSession, docs.select("doc_id", "text", "source"), seed)
     return small.join(cuts, "src").select("doc_id", "size", "source_size", "target", (F.col("size") * taken_times(F.col("at"))).alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, seed: str = "mix") -> DataFrame:
-    """Rows of ``docs``, each as often as the mix takes it; documents without words are taken as often as there are epochs."""
+    """Rows of ``docs``, all columns as they are, each as often as the mix takes it, copies side by side.
+
+    Documents without words, null text among them, are taken as often as there are epochs.
+    """
     cuts = _cut(docs.sparkSession, docs.select("doc_id", "text", "source"), seed)[1]
     rows = drawn(docs, seed).join(cuts, "src").select("doc", F.col("doc.doc_id").alias("doc_id"), "key", "size", "at", "epochs", "last")
     rows = rows.select("doc", F.explode(F.array_repeat(F.lit(1), taken_times(F.col("at")).cast("int"))))
@@ -129,7 +142,7 @@ def oracle(table: str = "documents", seed: str = "mix") -> str:
     WITH d AS (SELECT doc_id, coalesce(text, '') AS text, CASE WHEN source IS NULL THEN '~' ELSE '=' || source END AS src,
                       list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM {table}),
     b AS (SELECT doc_id, src, len(w)::BIGINT AS size,
-                 -ln((('0x' || substr(md5('{seed}|' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0)
+                 -ln((('0x' || substr(md5('{seed}|' || coalesce(doc_id::VARCHAR, '') || '|' || md5(text)), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0)
                  / (0.05 + 0.95 * (length(regexp_replace(text, '[^\\p{{L}}]', '', 'g')) / greatest(length(text), 1)) * (len(list_distinct(w)) / greatest(len(w), 1))) AS key FROM d),
     s AS (SELECT src, sum(size)::BIGINT AS source_size FROM b GROUP BY src),
     r AS (SELECT *, [5, 2, 1][((row_number() OVER (ORDER BY src) - 1) % 3 + 1)::INT] AS weight, 2.0::DOUBLE * source_size AS cap FROM s),

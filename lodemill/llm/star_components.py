@@ -13,15 +13,16 @@ def _least_neighbour(edges: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.save(edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
 
 
-def components(edges: DataFrame, scratch: Scratch, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(id, component) of every node of ``edges(a, b)`` that has a neighbour; the component is its smallest id.
 
-    Loops and repeated edges don't matter; rows with nulls are left out.  Every round is written to the shared folder.
+    Loops and repeated edges don't matter; rows with nulls are left out.  Every round is written to the shared folder;
+    rounds go on until one changes nothing, about the squared logarithm of the nodes at most.
     """
     high, low = F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
     now = scratch.save(edges.where("a is not null and b is not null and a <> b").select(high, low).distinct(), "edges")
     state = None
-    for _ in range(most_rounds):
+    while True:
         # Large-star: every node ties its larger neighbours to the smallest node it knows.
         both = now.selectExpr("a u", "b v").unionAll(now.selectExpr("b u", "a v"))
         least = _least_neighbour(both, scratch)
@@ -38,4 +39,3 @@ def components(edges: DataFrame, scratch: Scratch, most_rounds: int = 60) -> Dat
             roots = now.select("b").distinct()
             return now.selectExpr("a id", "b component").unionAll(roots.selectExpr("b id", "b component"))
         state = seen
-    raise RuntimeError(f"no fixed point after {most_rounds} rounds")
