@@ -13,14 +13,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodemill.llm.common import Scratch, slices
+from lodemill.llm.common import Scratch, slices, tasks_for
 from lodemill.llm.star_components import components
 
 BANDS, ROWS, SHINGLE = 36, 8, 5
@@ -166,43 +168,81 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array([values[e - c : e].tobytes() for c, e in zip(count, ends, strict=True)], pa.binary())], ["id", "set"])
 
 
-def _block_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of (same, left, right), blocks of (c, set): pairs of components that a link joins."""
+def _pack(root: str):
+    """Writes blocks of (g, probe, no, members) to one file a task; gives (g, probe, no, file, at, length)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, out, at = f"{uuid.uuid4().hex}.bin", None, 0
+        fs, base = pafs.FileSystem.from_uri(root)
+        rows = []
+        for batch in batches:
+            for lo in range(batch.num_rows):
+                g, probe, no, members = (c[lo] for c in batch.columns)
+                members = members.values.flatten() if len(members) else None
+                c, sets = members[0].to_numpy().astype("<i8"), members[1].to_pylist()
+                raw = b"".join([np.array([len(sets)], "<i8").tobytes(), c.tobytes(), np.array([len(x) // 8 for x in sets], "<i8").tobytes(), *sets])
+                if out is None:
+                    out = fs.open_output_stream(f"{base}/{name}")
+                out.write(raw)
+                rows.append((g.as_py(), probe.as_py(), no.as_py(), name, at, len(raw)))
+                at += len(raw)
+        if out is not None:
+            out.close()
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], ["g", "probe", "no", "file", "at", "length"])
+
+    return run
+
+
+def _block_links(root: str):
+    """Of (same, file and place of left, of right): pairs of components that a link joins."""
     places = 128
     least = least_agreement(places)
 
-    def load(members: list[dict]):
-        sets = [np.frombuffer(m["set"], _U) for m in members]
-        count = np.array([len(s) for s in sets], np.int64)
-        sig = (_mix(minima(np.concatenate(sets), count, places)) & _U(0xFF)).astype(np.uint8)
-        return np.array([m["c"] for m in members], np.int64), sets, count, sig
-
-    for batch in batches:
-        for same, left, right in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-            lc, lsets, lcount, lsig = load(left)
-            rc, rsets, rcount, rsig = (lc, lsets, lcount, lsig) if same else load(right)
-            out = set()
-            for i in range(len(lsets)):
-                small, large = np.minimum(rcount, lcount[i]), np.maximum(rcount, lcount[i])
-                ok = (rc != lc[i]) & (100 * small >= PERCENT * large)
-                if same:
-                    ok[: i + 1] = False
-                at = np.flatnonzero(ok)
-                at = at[(rsig[at] == lsig[i]).mean(1) >= least]
-                if not len(at):
-                    continue
-                flat = np.concatenate([rsets[j] for j in at])
-                where = np.minimum(np.searchsorted(lsets[i], flat), lcount[i] - 1)
-                first = np.cumsum(rcount[at]) - rcount[at]
-                both = np.add.reduceat((lsets[i][where] == flat).astype(np.int64), first)
-                hit = at[100 * both >= PERCENT * (lcount[i] + rcount[at] - both)]
-                out.update((int(lc[i]), int(rc[j])) for j in hit)
-            pairs = sorted(out)
-            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], ["a", "b"])
-
-
-def _rest_links(ids: DataFrame, pairs: DataFrame, links: DataFrame, sets: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """Components of the links of the stars, and the links between those components that the stars missed."""
+    def load(fs, base: str, name: str, at: int, length: int):
+        with fs.open_input_file(f"{base}/{name}") as f:
+            f.seek(at)
+            raw = np.frombuffer(f.read(length), np.int64)
+        n = int(raw[0])
+        c, count, flat = raw[1 : n + 1], raw[n + 1 : 2 * n + 1], raw[2 * n + 1 :].view(_U)
+        sig = (_mix(minima(flat, count, places)) & _U(0xFF)).astype(np.uint8)
+        return c, np.split(flat, np.cumsum(count)[:-1]), count, sig
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = pafs.FileSystem.from_uri(root)
+        last, left = None, None
+        for batch in batches:
+            for same, *where in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if last != where[:3]:
+                    last, left = where[:3], load(fs, base, *where[:3])
+                lc, lsets, lcount, lsig = left
+                rc, rsets, rcount, rsig = left if same else load(fs, base, *where[3:])
+                out = set()
+                for i in range(len(lsets)):
+                    small, large = np.minimum(rcount, lcount[i]), np.maximum(rcount, lcount[i])
+                    ok = (rc != lc[i]) & (100 * small >= PERCENT * large)
+                    if same:
+                        ok[: i + 1] = False
+                    at = np.flatnonzero(ok)
+                    at = at[(rsig[at] == lsig[i]).mean(1) >= least]
+                    if not len(at):
+                        continue
+                    flat = np.concatenate([rsets[j] for j in at])
+                    found = np.minimum(np.searchsorted(lsets[i], flat), lcount[i] - 1)
+                    first = np.cumsum(rcount[at]) - rcount[at]
+                    both = np.add.reduceat((lsets[i][found] == flat).astype(np.int64), first)
+                    hit = at[100 * both >= PERCENT * (lcount[i] + rcount[at] - both)]
+                    out.update((int(lc[i]), int(rc[j])) for j in hit)
+                pairs = sorted(out)
+                yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], ["a", "b"])
+
+    return run
+
+
+def _rest_links(pairs: DataFrame, links: DataFrame, sets: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Components of the links of the stars, and the links between those components that the stars missed.
+
+    Blocks of sets are written once; only their names and places are paired and shuffled.
+    """
     c = scratch.save(components(links, scratch).withColumnRenamed("component", "c"), "linked")
     g = scratch.save(components(pairs, scratch).withColumnRenamed("component", "g"), "groups")
     members = scratch.save(g.join(c, "id", "left").select("id", "g", F.coalesce("c", "id").alias("c")), "members")
@@ -213,27 +253,41 @@ def _rest_links(ids: DataFrame, pairs: DataFrame, links: DataFrame, sets: DataFr
     rows = scratch.save(rows.join(sets, "id").select("g", "probe", "c", "id", "set"), "rest")
     total = scratch.save(rows.groupBy("g", "probe").agg((F.floor(F.sum(F.length("set") + 200) / BLOCK_BYTES) + 1).alias("blocks")), "totals")
     blocks = rows.join(total, ["g", "probe"]).withColumn("no", F.pmod(F.xxhash64("id", "c"), F.col("blocks")))
-    blocks = scratch.save(blocks.groupBy("g", "probe", "no").agg(F.collect_list(F.struct("c", "set")).alias("members")), "blocks")
-    left = blocks.where("probe").select("g", F.col("no").alias("i"), F.col("members").alias("left"))
-    right = blocks.select("g", "probe", "no", F.col("members").alias("right"))
-    grid = left.join(right, "g").where("not probe or no >= i").select((F.col("probe") & (F.col("no") == F.col("i"))).alias("same"), "left", "right")
-    found = grid.repartition(max(1, grid.sparkSession.sparkContext.defaultParallelism)).mapInArrow(_block_links, "a long, b long")
+    blocks = blocks.groupBy("g", "probe", "no").agg(F.collect_list(F.struct("c", "set")).alias("members"))
+    root = scratch.path("files")
+    fs, base = pafs.FileSystem.from_uri(root)
+    fs.create_dir(base, recursive=True)
+    at = scratch.save(blocks.mapInArrow(_pack(root), "g long, probe boolean, no long, file string, at long, length long"), "blocks")
+    right = at.selectExpr("g", "probe as other", "no as j", "struct(file, at, length) as right")
+    grid = at.where("probe").selectExpr("g", "no as i", "struct(file, at, length) as left").join(right, "g").where("not other or j >= i")
+    grid = grid.selectExpr("other and j = i as same", "left.*", "right.file as file2", "right.at as at2", "right.length as length2")
+    found = grid.repartition(tasks_for(sets)).mapInArrow(_block_links(root), "a long, b long")
     return c, scratch.save(found.distinct(), "found")
 
 
+def _ties(real: DataFrame, classes: DataFrame, scratch: Scratch) -> DataFrame:
+    """Edges (a, b) between the classes of every doc_id that has several, so that its rows are one node; mostly none."""
+    several = real.groupBy("doc_id").agg(F.min(F.struct("k1", "k2")).alias("lo"), F.max(F.struct("k1", "k2")).alias("hi")).where("lo <> hi").select("doc_id")
+    of = scratch.save(real.join(several, "doc_id").join(classes, ["k1", "k2"]).select("doc_id", "id").distinct(), "several")
+    return of.join(of.groupBy("doc_id").agg(F.min("id").alias("a")), "doc_id").where("a <> id").selectExpr("a", "id as b").distinct()
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of ``docs(doc_id, text)``.
 
-    Rows of one doc_id are one node with all their texts' links.  Documents without words, null text among them, and
-    rows with null doc_id (component null, kept) are linked with nothing.  Other columns are not read.
+    Rows of one doc_id are one node with all their texts' links.  Documents without words, null and empty text among
+    them, and rows with null doc_id (component null, kept) are linked with nothing.  Very long texts are sets like any
+    other, held one at a time.  Other columns are not read; an empty table gives no rows.
     """
     scratch = Scratch(docs.sparkSession, "near")
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     feats = scratch.save(text.mapInArrow(_features, "doc_id long, n_shingles long, k1 long, k2 long, sig binary, bands array<long>"), "features")
     real = feats.where("n_shingles > 0 and doc_id is not null")
-    classes = scratch.save(real.groupBy("k1", "k2").agg(F.min("doc_id").alias("id")), "classes")
-    # Repeated doc_ids with other texts: one node.
-    nodes = scratch.save(real.join(classes, ["k1", "k2"]).where("doc_id = id").select("id", "n_shingles", "sig", "bands").dropDuplicates(["id", "n_shingles", "sig"]), "nodes")
+    classes = scratch.save(real.groupBy("k1", "k2").agg(F.min("doc_id").alias("id"), F.count("*").alias("n")), "classes")
+    # A class' own row has three keys, so copies of a text don't meet in one task.
+    own = (real["k1"] == classes["k1"]) & (real["k2"] == classes["k2"]) & (real["doc_id"] == classes["id"])
+    nodes = real.join(classes, own).select("id", "n_shingles", "sig", "bands").dropDuplicates(["id", "n_shingles", "sig"])
+    nodes = scratch.save(nodes, "nodes")
     keyed = nodes.select("id", F.explode("bands").alias("key"))
     leaders = scratch.save(keyed.groupBy("key").agg(F.count("*").alias("k"), F.min("id").alias("a")).where("k > 1").select("key", "a"), "leaders")
     # Whatever their sizes: two members that link may share buckets only with leaders that neither resembles in size.
@@ -243,26 +297,38 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     ids = scratch.save(pairs.selectExpr("a id").unionAll(pairs.selectExpr("b id")).distinct(), "ids")
     sig = nodes.select("id", F.col("n_shingles").alias("n"), "sig")
     alike = pairs.join(sig.selectExpr("id a", "n na", "sig sa"), "a").join(sig.selectExpr("id b", "n nb", "sig sb"), "b").where(f"100 * least(na, nb) >= {PERCENT} * greatest(na, nb)")
-    alike = alike.select("a", "b", "sa", "sb").mapInArrow(_alike, "a long, b long")
+    alike = alike.select("a", "b", "sa", "sb").mapInArrow(_alike, "a long, b long").distinct()
     alike = scratch.save(alike, "alike")
     picked = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     sets = text.withColumnRenamed("doc_id", "id").join(picked, "id", "left_semi").mapInArrow(_sets, "id long, set binary")
     sets = scratch.save(sets.where("length(set) > 0").dropDuplicates(["id", "set"]), "sets")
     links = alike.join(sets.selectExpr("id b", "set sb"), "b").join(sets.selectExpr("id a", "set sa"), "a").select("a", "b", "sa", "sb").mapInArrow(_links, "a long, b long")
-    links = scratch.save(links, "links")
-    linked, found = _rest_links(ids, pairs, links, sets, scratch)
+    links = scratch.save(links.unionAll(_ties(real, classes, scratch)), "links")
+    linked, found = _rest_links(pairs, links, sets, scratch)
     scratch.drop(sets)
     joined = scratch.save(components(found, scratch).selectExpr("id c", "component final"), "joined")
-    of_class = classes.join(linked, "id", "left").withColumn("c", F.coalesce("c", "id")).join(joined, "c", "left").select("k1", "k2", F.coalesce("final", "c").alias("component_id"))
-    of_class = scratch.save(of_class, "component")
-    out = feats.select("doc_id", "n_shingles", "k1", "k2").join(of_class, ["k1", "k2"], "left")
-    comp = F.when(F.col("doc_id").isNull() | (F.col("n_shingles") == 0), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", comp.alias("component_id"), F.coalesce(F.col("doc_id") == comp, F.lit(True)).alias("kept"))
+    of_class = classes.join(linked, "id", "left").withColumn("c", F.coalesce("c", "id")).join(joined, "c", "left").select("k1", "k2", "n", F.coalesce("final", "c").alias("component_id"))
+    return _spread(feats.select("doc_id", "n_shingles", "k1", "k2"), scratch.save(of_class, "component"))
+
+
+def _spread(rows: DataFrame, of_class: DataFrame, share: int = 200) -> DataFrame:
+    """The component of every row.  Classes with more than 1 / ``share`` of all rows, ``share`` at most, are broadcast; rows without a class need none."""
+    linkable = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
+    least = (of_class.agg(F.sum("n")).first()[0] or 0) / share
+    names = ["doc_id", "n_shingles", "component_id"]
+    large, small = of_class.where(F.col("n") > least).drop("n"), of_class.where(F.col("n") <= least).drop("n")
+    in_large = rows.where(linkable).join(F.broadcast(large), ["k1", "k2"]).select(names)
+    in_small = rows.where(linkable).join(F.broadcast(large), ["k1", "k2"], "left_anti").join(small, ["k1", "k2"]).select(names)
+    alone = rows.where(~F.coalesce(linkable, F.lit(False))).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return in_large.unionAll(in_small).unionAll(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def distinct_documents(docs: DataFrame) -> DataFrame:
-    """Rows of ``docs``, all columns as they are, of the documents that stay: one of each component.  Of repeated rows of one doc_id all stay."""
+    """Rows of ``docs``, all columns as they are, of the documents that stay: one of each component.
+
+    Of repeated rows of one doc_id, a document like any other, all stay or all go; null doc_ids and texts stay.
+    """
     gone = near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
     gone = Scratch(docs.sparkSession, "gone").save(gone, "ids")
     few = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    return docs.join(few, docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
+    return docs.join(few, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
