@@ -1,10 +1,16 @@
-"""Bounded samples of labelled documents, for training on the driver."""
+"""Bounded samples of labelled documents, for training on the driver, and scores of texts."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodemill.llm.common import cuts
+
 
 def remainder(doc_id: Column, m: int) -> Column:
     """crc32 of the doc_id in decimal, modulo m; null for null."""
@@ -15,10 +21,29 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, may_learn: Column, pe
     """At most ``per_class`` (text, label) of label 0 and of label 1, in a fixed order that doesn't depend on the partitions.
 
     Rows without a label, text or doc_id, with contradicting labels, or with a text of over ``longest`` characters
-    teach nothing.  The labels drawn are bounded by ``per_class``, so they are broadcast.
+    teach nothing; twice as many labels are drawn, so that others take their place.  Of a repeated doc_id the least text
+    teaches.  The labels drawn, and so the texts that come to the driver, are bounded by ``per_class``.
     """
     clean = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & may_learn).groupBy("doc_id").agg(F.min(label).alias("y"), F.max(label).alias("y1")).where("y = y1")
     order = F.md5(F.concat(F.lit(f"{label}|"), F.col("doc_id").cast("string")))
-    drawn = [clean.where(F.col("y") == y).select("doc_id", "y").orderBy(order, "doc_id").limit(per_class) for y in (0, 1)]
-    rows = docs.select("doc_id", "text").where(F.length("text") <= longest).join(F.broadcast(drawn[0].unionAll(drawn[1])), "doc_id").select("doc_id", "y", "text")
-    return [(r.text, r.y) for r in sorted(rows.collect())]
+    clean = clean.select("doc_id", "y", order.alias("place"))
+    drawn = [clean.where(F.col("y") == y).orderBy("place", "doc_id").limit(2 * per_class) for y in (0, 1)]
+    rows = docs.select("doc_id", "text").where(F.length("text") <= longest).join(F.broadcast(drawn[0].unionAll(drawn[1])), "doc_id").groupBy("doc_id", "y", "place").agg(F.min("text").alias("text"))
+    rows = sorted((r.place, r.doc_id, r.text, r.y) for r in rows.collect())
+    kept = [r for y in (0, 1) for r in [r for r in rows if r[3] == y][:per_class]]
+    return [(t, y) for _, _, t, y in sorted(kept)]
+
+
+def text_score(model, rows: int = 256, size: int = 1 << 20):
+    """Function of a text column: ``model.scores`` of its texts, null counting as empty.
+
+    Only the texts go to Python, and only numbers come back; all other columns stay in the JVM.
+    """
+
+    @F.arrow_udf("double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            found = [np.clip(model.scores([t or "" for t in part.to_pylist()]), 0, 1) for part in cuts(batch, rows, size)]
+            yield pa.array(np.concatenate([np.zeros(0), *found]), pa.float64())
+
+    return score

@@ -8,15 +8,13 @@ length, the document's quality, which a logistic curve fitted on the training do
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections import Counter
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodemill.llm.common import slices
-from lodemill.llm.labelled import remainder, sample
+from lodemill.llm.labelled import remainder, sample, text_score
 
 _ODD = re.compile(r"[^\w\s.,;:'\"()?!¿¡-]")
 _UPPER = re.compile(r"[A-ZÀ-ÖØ-Þ]")
@@ -25,10 +23,9 @@ _ENDS = re.compile(r"[.!?…][\"')\]]*$")
 OWN = 14
 
 
-def line_features(lines: list[str], doc: np.ndarray, n_docs: int) -> np.ndarray:
-    """Own features of lines; doc: number of each line's document, ascending."""
+def line_features(lines: list[str], repeats: np.ndarray) -> np.ndarray:
+    """Own features of lines; repeats: how often each occurs in its document."""
     out = np.zeros((len(lines), OWN))
-    seen: dict[tuple[int, str], int] = {}
     known: dict[str, tuple] = {}
     for i, line in enumerate(lines):
         f = known.get(line)
@@ -42,9 +39,7 @@ def line_features(lines: list[str], doc: np.ndarray, n_docs: int) -> np.ndarray:
                 min(1.0, 4 * line.count("|") / w), min(1.0, 4 * sum(map(str.isdigit, line)) / n), 1.0 if _REPEAT.search(line) else 0.0,
             )
         out[i, :13] = f
-        key = (int(doc[i]), line)
-        seen[key] = seen.get(key, 0) + 1
-    out[:, 13] = [min(4, seen[int(d), x] - 1) / 4 for d, x in zip(doc, lines, strict=True)]
+    out[:, 13] = np.minimum(4, repeats - 1) / 4
     return out
 
 
@@ -57,8 +52,8 @@ def with_neighbours(own: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return np.hstack([own, before[:, 1:], after[:, 1:]])
 
 
-def forward_backward(unary: np.ndarray, edge: np.ndarray, start: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """P(good) of each line, and the sum of all neighbours' joint marginals.
+def forward_backward(unary: np.ndarray, edge: np.ndarray, start: np.ndarray, count: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """P(good) of each line, and the sum of all neighbours' joint marginals, each times its document's ``weight``.
 
     ``unary``: log-odds of good; ``edge``: log factors [before][after]; documents begin at ``start`` with ``count``
     lines.  All documents of equal rank step together, longest first, so a batch takes as many steps as its longest
@@ -66,6 +61,7 @@ def forward_backward(unary: np.ndarray, edge: np.ndarray, start: np.ndarray, cou
     """
     order = np.argsort(-count, kind="stable")
     start, count = start[order], count[order]
+    weight = np.ones(len(count)) if weight is None else weight[order]
     steps = int(count[0]) if len(count) else 0
     live = np.searchsorted(-count, -np.arange(1, steps + 1), side="right")  # documents with more lines than the step
     phi = np.stack([1 / (1 + np.exp(np.clip(unary, -30, 30))), 1 / (1 + np.exp(-np.clip(unary, -30, 30)))], 1)
@@ -81,7 +77,7 @@ def forward_backward(unary: np.ndarray, edge: np.ndarray, start: np.ndarray, cou
         m = phi[at + 1] * beta[at + 1]
         b = m @ psi.T
         j = alpha[at][:, :, None] * psi * m[:, None, :]
-        joint += (j / j.sum((1, 2), keepdims=True)).sum(0)
+        joint += (weight[: live[s + 1], None, None] * j / j.sum((1, 2), keepdims=True)).sum(0)
         beta[at] = b / b.sum(1, keepdims=True)
     g = alpha * beta
     return g[:, 1] / np.maximum(g.sum(1), 1e-300), joint
@@ -92,12 +88,22 @@ class Lines:
 
     def __init__(self, texts: list[str]):
         cut = [[x for x in t.split("\n") if x.strip()] for t in texts]
-        self.count = np.array([len(c) for c in cut], int)
+        self.count = np.array([len(c) for c in cut], np.int64)
         self.start = np.cumsum(self.count) - self.count
-        self.doc = np.repeat(np.arange(len(texts)), self.count)
-        flat = [x for c in cut for x in c]
-        self.length = np.array([len(x) for x in flat], float)
-        self.x = with_neighbours(line_features(flat, self.doc, len(texts)), self.doc)
+        self.doc = np.repeat(np.arange(len(texts), dtype=np.int32), self.count)
+        self.flat = [x for c in cut for x in c]
+        self.length = np.array([len(x) for x in self.flat], float)
+        seen = [Counter(c) for c in cut]
+        self.repeats = np.array([n[x] for n, c in zip(seen, cut, strict=True) for x in c], np.int32)
+
+    def features(self, lo: int, hi: int) -> np.ndarray:
+        """Features of the lines from ``lo`` to before ``hi``, those of neighbours among them."""
+        a, b = max(0, lo - 1), min(len(self.flat), hi + 1)
+        return with_neighbours(line_features(self.flat[a:b], self.repeats[a:b]), self.doc[a:b])[lo - a : hi - a]
+
+    def unary(self, weight: np.ndarray, step: int = 1 << 14) -> np.ndarray:
+        """Log-odds of each line, some lines at a time, so that their features never stand in memory together."""
+        return np.concatenate([np.zeros(0), *(self.features(lo, min(len(self.flat), lo + step)) @ weight for lo in range(0, len(self.flat), step))])
 
     def mean(self, p: np.ndarray) -> np.ndarray:
         """Length-weighted mean of each document; 1/2 for documents without lines."""
@@ -113,7 +119,7 @@ class Model:
     def raw(self, texts: list[str]) -> np.ndarray:
         lines = Lines(texts)
         run = lines.count > 0
-        p, _ = forward_backward(lines.x @ self.weight, self.edge, lines.start[run], lines.count[run])
+        p, _ = forward_backward(lines.unary(self.weight), self.edge, lines.start[run], lines.count[run])
         return lines.mean(p)
 
     def scores(self, texts: list[str]) -> np.ndarray:
@@ -128,7 +134,7 @@ def train(rows: list[tuple[str, int]], rounds: int = 80, rate: float = 0.3, deca
     """
     y = np.array([r[1] for r in rows], float)
     lines = Lines([r[0] for r in rows])
-    weight, edge = np.zeros(lines.x.shape[1] if len(lines.x) else 3 * OWN - 2), np.zeros((2, 2))
+    weight, edge, x = np.zeros(3 * OWN - 2), np.zeros((2, 2)), lines.features(0, len(lines.flat))
     if len(rows) == 0 or y.min() == y.max():
         return Model(weight, edge, (float(2 * y.mean() - 1) if len(rows) else 0.0, 0.0))
     yl = y[lines.doc].astype(int)
@@ -137,16 +143,17 @@ def train(rows: list[tuple[str, int]], rounds: int = 80, rate: float = 0.3, deca
     total = np.bincount(lines.doc, lines.length, len(y))
     each = (share[lines.doc] * lines.length / total[lines.doc])[:, None]
     same = lines.doc[1:] == lines.doc[:-1]
-    seen = np.zeros((2, 2))
-    np.add.at(seen, (yl[:-1][same], yl[1:][same]), 1.0)
     run = lines.count > 0
+    pairs = share / np.maximum(1, lines.count - 1)  # of each pair of neighbours
+    seen = np.zeros((2, 2))
+    np.add.at(seen, (yl[:-1][same], yl[1:][same]), pairs[lines.doc[1:]][same])
     gw, ge = np.full_like(weight, 1e-8), np.full_like(edge, 1e-8)
     for _ in range(rounds):
-        p, joint = forward_backward(lines.x @ weight, edge, lines.start[run], lines.count[run])
-        g = (each * lines.x).T @ (yl - p) - decay * weight
+        p, joint = forward_backward(x @ weight, edge, lines.start[run], lines.count[run], pairs[run])
+        g = (each * x).T @ (yl - p) - decay * weight
         gw += g * g
         weight = weight + rate * g / np.sqrt(gw)
-        g = (seen - joint) / max(1, len(yl)) - 1e-2 * edge
+        g = seen - joint - 1e-2 * edge
         ge += g * g
         edge = edge + 0.1 * rate * g / np.sqrt(ge)
     q = lines.mean(p)
@@ -165,32 +172,20 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1200, longest: int
     return train(sample(docs, labels, "quality", remainder(F.col("doc_id"), 3) != 1, per_class, longest))
 
 
-def _scored(model: Model):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 1024, 8 << 20):
-            s = np.clip(model.scores([t or "" for t in b.column("text").to_pylist()]), 0, 1)
-            yield b.append_column("_score", pa.array(s, pa.float64()))
-
-    return run
-
-
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row; only the text is scored.
 
     Null, empty and blank text scores as a document that is as much good as bad.  held_out is null for null doc_id.
+    Every row gives a row, repeated ones too; an empty table gives none; other columns are not read.  A very long text
+    is scored whole, its features some lines at a time.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_scored(model), "doc_id long, text string, _score double")
-    return rows.select("doc_id", (remainder(F.col("doc_id"), 3) == 1).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.5).cast("int").alias("predicted"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_score(model)(F.col("text")).alias("score"))
+    return rows.select("doc_id", (remainder(F.col("doc_id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def good_documents(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
-    """Rows of ``docs``, all columns as they are, that score ``least`` or more."""
-    ids = [F.struct(*[docs[c] for c in docs.columns]).alias("doc"), docs["text"].alias("text")]
-    rows = docs.select(*ids)
-    from pyspark.sql import types as T
-
-    schema = T.StructType([*rows.schema.fields, T.StructField("_score", T.DoubleType())])
-    return rows.mapInArrow(_scored(model), schema).where(F.col("_score") >= least).select("doc.*")
+    """Rows of ``docs``, all columns as they are, that score ``least`` or more; null and empty texts score as in ``score``."""
+    return docs.where(text_score(model)(docs["text"]) >= least)
 
 
 def quality(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
