@@ -240,7 +240,11 @@ def runs(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         yield lo, len(sizes)
 
 
-def bpe_round_trip(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256): digests of ``encode_documents``."""
+def digests(encoded: DataFrame, *keep: str) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of ``encode_documents``' rows, and the columns ``keep``."""
     joined = F.concat_ws(",", F.col("ids").cast("array<string>"))
-    return encode_documents(docs, vocabulary).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), *keep)
+
+
+def bpe_round_trip(docs: DataFrame, vocabulary: str) -> DataFrame:
+    return digests(encode_documents(docs, vocabulary))

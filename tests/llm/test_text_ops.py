@@ -200,6 +200,34 @@ def test_quality(spark, docs, empty):
     assert line_crf.score(docs, none).where("score <> 0.5").count() == 0
 
 
+def test_quality_scores_by_brute_force():
+    from itertools import product
+
+    rows = [((GOOD if k % 2 else BAD) * (1 + k % 2) + f"line {k}.", k % 2) for k in range(60)]
+    model = line_crf.train(rows)
+    texts = [GOOD + BAD, "one\n\n two two\n| 3 |", GOOD * 3 + "x", "\n \n", "", "A\nA\nA!"]
+
+    def brute(text):
+        lines = [x for x in text.split("\n") if x.strip()]
+        if not lines:
+            p = 0.5
+        else:
+            own = np.vstack([line_crf.line_features([x], np.array([lines.count(x)])) for x in lines])
+            none = np.zeros(line_crf.OWN - 1)
+            x = [np.concatenate([own[k], own[k - 1][1:] if k else none, own[k + 1][1:] if k + 1 < len(lines) else none]) for k in range(len(lines))]
+            z, one = 0.0, np.zeros(len(lines))
+            for y in product((0, 1), repeat=len(lines)):
+                w = np.exp(sum(s * (v @ model.weight) for s, v in zip(y, x, strict=True)) + sum(model.edge[a, b] for a, b in zip(y, y[1:], strict=False)))
+                z, one = z + w, one + w * np.array(y)
+            size = np.array([len(x) for x in lines])
+            p = (one / z) @ size / size.sum()
+        return 1 / (1 + np.exp(-(model.curve[0] + model.curve[1] * p)))
+
+    assert np.allclose(model.scores(texts), [brute(t) for t in texts])
+    whole = line_crf.Lines(texts)
+    assert np.allclose(whole.unary(model.weight, step=2), whole.features(0, len(whole.flat)) @ model.weight)
+
+
 def test_toxicity(spark, docs, empty):
     rng = np.random.default_rng(0)
     words = ["".join(rng.choice(list("aeioutnrsl"), 6)) for _ in range(400)]
@@ -225,12 +253,48 @@ def test_toxicity(spark, docs, empty):
     assert zstd_toxicity.score(d, none).where("predicted = 1").count() == 0
 
 
-def test_toxicity_learns_from_every_window(monkeypatch):
-    rows = [(" ".join(f"w{k}_{i}" for i in range(100)), 0) for k in range(30)] + [(f"{'badword ' * 30} t{k}", 1) for k in range(30)]
-    seen, learn = [], zstd_toxicity._dictionary
-    monkeypatch.setattr(zstd_toxicity, "_dictionary", lambda size, samples: seen.append((size, samples)) or learn(size, samples))
-    zstd_toxicity.train(rows)
-    assert dict(seen)[zstd_toxicity.ORDINARY_BYTES] == [w for t, y in rows if not y for w in zstd_toxicity.windows(t)]
+def test_toxicity_scores_are_compression_lengths():
+    import math
+
+    import zstandard
+
+    rng = np.random.default_rng(1)
+    words = ["".join(rng.choice(list("aeioutnrsl"), 6)) for _ in range(300)]
+    rows = [(" ".join([*rng.choice(words, 60), *(["hatefulword"] if k % 3 == 0 else []), *rng.choice(words, 30)]), int(k % 3 == 0)) for k in range(150)]
+    model = zstd_toxicity.train(rows)
+    assert model.toxic and model.ordinary
+
+    def size(content, window):
+        d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        p = zstandard.ZstdCompressionParameters.from_level(6, dict_size=len(content), source_size=200, write_content_size=False, write_checksum=False, write_dict_id=False)
+        d.precompute_compress(compression_params=p)
+        return len(zstandard.ZstdCompressor(dict_data=d, compression_params=p).compress(window))
+
+    def brute(text):
+        w = text.lower().split()
+        if not w:
+            return 0.0
+        saved, at = [], 0
+        while True:
+            window = (" " + " ".join(w[at : at + 24]) + " ").encode()
+            saved.append(size(model.ordinary, window) - size(model.toxic + model.ordinary, window))
+            at += 22
+            if at >= len(w) - 2:
+                break
+        top = sorted(saved, reverse=True)
+        over = sum(s - 2 for s in saved if s > 2)
+        x = [1, *(max(0, t) / 4 for t in (top + [0, 0, 0])[:3]), math.log1p(over), over / len(saved), math.log1p(len(saved)) / 4, sum(saved) / len(saved)]
+        return 1 / (1 + math.exp(-float(np.dot(x, model.curve))))
+
+    texts = [t for t, _ in rows[:20]] + ["", "  \n", "one", "x" * 9000, "a b " * 3000, *(" ".join(words[:n]) for n in (23, 24, 25, 26, 27, 46, 47, 48, 49))]
+    assert np.allclose(model.scores(texts), [brute(t) for t in texts])
+
+
+def test_toxicity_needs_two_of_each_label():
+    for rows in ([], [("a b", 1)], [("a", 0)] * 5, [("a b", 1), ("c", 0), ("d", 0)]):
+        model = zstd_toxicity.train(rows)
+        assert np.allclose(model.scores(["a b", "", "c"]), 0.05)
+    assert zstd_toxicity.train([("a b", 1), ("a b", 1), ("c", 0), ("d", 0)]).scores(["", "a b"]).shape == (2,)
 
 
 def brute_components(rows):
@@ -279,8 +343,10 @@ def test_near_duplicates(spark, docs, empty):
     assert {r.doc_id for r in kept.collect()} == {None} | {i for i, c in comp.items() if i == c}
 
 
-def test_near_copies_behind_larger_leaders(spark):
+@pytest.mark.parametrize("block", [2 << 20, 4000])
+def test_near_copies_behind_larger_leaders(spark, monkeypatch, block):
     """Earlier documents that hold the passage and more lead every bucket; the copies still find each other."""
+    monkeypatch.setattr(near_duplicates, "BLOCK_BYTES", block)
     x = [f"p{i}" for i in range(200)]
     rows = [(i, " ".join([*x, *(f"l{i}_{k}" for k in range(50))])) for i in range(150)]
     rows += [(1000, " ".join(x)), (1001, " ".join([*x, "end"]))]
@@ -289,6 +355,20 @@ def test_near_copies_behind_larger_leaders(spark):
     assert comp[1001] == 1000 and {r.doc_id: r.component_id for r in got} == comp
 
 
+def test_texts_of_one_doc_id_are_one_node(spark):
+    rows = [(1, "a b c d e f g"), (3, "a b c d e f g"), (3, "other words than those before it"), (4, "OTHER words than those before it"), (4, None), (5, "alone"), (None, "alone")]
+    d = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, component_id string, n long")
+    got = sorted((r.doc_id or 0, r.n_shingles, r.component_id, r.kept) for r in near_duplicates.near_duplicates(d).collect())
+    assert got == [(0, 1, None, True), (1, 3, 1, True), (3, 2, 1, False), (3, 3, 1, False), (4, 0, 4, True), (4, 2, 1, False), (5, 1, 5, True)]
+    assert sorted((r.doc_id or 0) for r in near_duplicates.distinct_documents(d).collect()) == [0, 1, 5]
+
+
+def test_a_third_of_the_rows_are_copies(spark):
+    rows = [(i, "same five words and more") for i in range(0, 300, 3)] + [(i, f"text number {i} stands here alone") for i in range(300) if i % 3]
+    got = near_duplicates.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: 0 if i % 3 == 0 else i for i in range(300)}
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (100, 102), (7, 7), (None, 3), (200, 150), (1, 0)]
     d = spark.createDataFrame(edges, "a long, b long")
@@ -331,6 +411,27 @@ def test_mix(spark, docs, empty):
     assert mixing.mix(empty).count() == 0 and mixing.mixed_documents(empty).count() == 0
 
 
+def test_mix_equals_its_sql(spark):
+    """Digits only (the lowest weight), null and repeated doc_ids, null texts and sources."""
+    import duckdb
+
+    rng = np.random.default_rng(4)
+    rows = [(i, " ".join(str(int(rng.integers(10**6))) for _ in range(8)), "a" if i < 900 else "b") for i in range(1500)]
+    rows += [(None, f"no id {k} " + "w " * (k % 5), "c") for k in range(200)] + [(7, f"repeated {k}", "d") for k in range(150)] + [(5000 + k, None, None) for k in range(5)] + [(6000 + k, f"{k} words", None) for k in range(40)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    t = d.toPandas().astype({"doc_id": "Int64"})
+    con = duckdb.connect()
+    con.register("t", t)
+    want = con.execute(mixing.oracle("t")).fetchall()
+    got = [(r.doc_id, r.size, r.source_size, r.target, r.taken) for r in mixing.mix(d).collect()]
+    key = lambda r: tuple((x is not None, x or 0) for x in r)
+    assert sorted(got, key=key) == sorted(want, key=key)
+    total = {}
+    for (_, _, size, target, _), taken in zip(got, (r[4] for r in got), strict=True):
+        total[size, target] = total.get((size, target), 0) + taken
+    assert all(abs(taken - target) <= 10 for (_, target), taken in total.items())
+
+
 def test_url_rules(spark):
     urls = ["http://A.Example.org/es/x?q", "https://example.org/en/12", "https://x.com/fr/", "http://com/de/1#t", "http://notexample.org/es/", "http://a.org", None, "", "no scheme", "http://casino.example.net/", "http://mycasino.net/", "x://user@h.com:80/de/?://y", "http://ads-track.net", "http://h.org/\n/x"]
     d = spark.createDataFrame([(i, u, "h") for i, u in enumerate([*urls, urls[0]])], "page_id long, url string, host string")
@@ -373,6 +474,64 @@ def test_fingerprints(spark, docs, empty):
     assert phrase_prints.fingerprint_documents(lone).first().near_next == 1.0
 
 
+def brute_prints(text):
+    """The names of each level, phrase by phrase, and their one-permutation minima."""
+    M = (1 << 64) - 1
+
+    def mix(x):
+        x = ((x ^ (x >> 31)) * 0x9E3779B97F4A7C15) & M
+        x = ((x ^ (x >> 29)) * 0xBF58476D1CE4E5B9) & M
+        return x ^ (x >> 32)
+
+    names, out = [mix(ord(c) + 1) for c in text], []
+    for _ in range(4):
+        runs = []
+        for x in names:
+            if runs and runs[-1][0] == x:
+                runs[-1][1] += 1
+            else:
+                runs.append([x, 1])
+        sym = [x if n == 1 else mix((x + mix(n)) & M) for x, n in runs]
+        label = sym
+        for _ in range(3):
+            new = []
+            for k, x in enumerate(label):
+                diff = x ^ label[k - 1] if k else 1
+                low = (diff & -diff).bit_length() - 1 if diff else 64
+                new.append(2 * low + (x >> low & 1))
+            label = new
+        cut = [k for k in range(len(sym)) if k == 0 or k + 1 < len(sym) and label[k - 1] > label[k] < label[k + 1]]
+        names = []
+        for a, b in zip(cut, [*cut[1:], len(sym)], strict=False):
+            power, total = 1, 0
+            for x in sym[a:b]:
+                total, power = (total + mix(x) * power) & M, power * 0x9E3779B97F4A7C15 & M
+            names.append(mix(total))
+        bins = [None] * 32
+        for x in names:
+            h = mix(x ^ 0x9E3779B97F4A7C15)
+            bins[h & 31] = h >> 8 if bins[h & 31] is None else min(bins[h & 31], h >> 8)
+        row = []
+        for k in range(32):
+            near = [d for d in range(32) if bins[(k + d) % 32] is not None]
+            v = 0 if not near else bins[k] if near[0] == 0 else mix((bins[(k + near[0]) % 32] + near[0]) & M)
+            row.append(max(1, v & 0xFFFF) if near else 0)
+        out += row
+    return out
+
+
+def test_fingerprints_by_brute_force():
+    rng = np.random.default_rng(5)
+    texts = ["", "a", "ab", "aaaa", "abab" * 9, "\U0001f642x" * 7, *("".join(rng.choice(list("abcdefgh \u00e9"), int(n))) for n in (3, 10, 40, 200, 900))]
+    got = phrase_prints.prints(texts)
+    want = [brute_prints(t) for t in texts]
+    assert got.tolist() == want
+    same = lambda a, b: sum(w * sum(x == y > 0 for x, y in zip(a[32 * k : 32 * k + 32], b[32 * k : 32 * k + 32], strict=True)) / 32 for k, w in enumerate((0.1, 0.3, 0.3, 0.3)))
+    for a, b, p, q in zip(want, want[1:], got, got[1:], strict=False):
+        j = same(a, b)
+        assert np.isclose(phrase_prints.likeness(p[None], q[None])[0], min(1, 2 * j / (1 + j)))
+
+
 def test_equal_substrings_share_phrases():
     rng = np.random.default_rng(0)
     text = "".join(rng.choice(list("abcdefgh "), 3000))
@@ -436,9 +595,31 @@ def test_pipeline_against_brute_force(spark, tokenizer):
     assert sorted((r.doc_id, r.n_tokens, r.ids_sha256) for r in got.collect()) == sorted(want)
 
 
-def test_pipeline_stages_keep_the_columns(spark):
+def test_pipeline_stages_on_odd_rows(spark):
+    """Null, empty, blank and very long texts, null and repeated ids, columns with the names that the stages use."""
     import corpus_pipeline
 
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(40)
-    for name, stage in corpus_pipeline.STAGES[:4]:
-        assert stage(spark, docs, "/root/testdata/sf0.001").columns == docs.columns, name
+    sf = "/root/testdata/sf0.001"
+    fine = [(r.doc_id, r.text, r.lang, r.source, r.n_chars) for r in spark.read.parquet(f"{sf}/documents.parquet").limit(30).collect()]
+    odd = [(9001, None, None, None, None), (9002, "", "en", "web", 0), (9003, " \n\t", "en", None, 3), (None, "no id here", "en", "web", 10), (None, None, None, None, None), (9004, "word " * 60_000, "en", "web", 300_000), (9005, "x" * 200_000, "en", "web", 200_000)]
+    rows = fine + fine[:4] + odd + odd[:1]
+    extra = "_score score doc _doc src key size ids id label y _gone component_id part head".split()
+    d = spark.createDataFrame([(*r, *extra) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in extra)).repartition(3)
+    count = lambda df: __import__("collections").Counter(map(tuple, df.collect()))
+    whole = count(d)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, d, sf)
+        empty = stage(spark, d.limit(0), sf)
+        assert empty.count() == 0
+        if name == "encode":
+            assert out.count() == len(rows) and out.where("doc_id in (9001, 9002) and (n_tokens > 0 or size(ids) > 0)").count() == 0
+            continue
+        assert out.columns == d.columns == empty.columns, name
+        got = count(out)
+        assert set(got) <= set(whole), name
+        if name == "near_dedup":
+            assert all(got[r] == n for r, n in whole.items() if r[0] is None or not (r[1] or "").split())
+        if name != "mix_sources":
+            assert all(n == whole[r] for r, n in got.items()), name
+        if name == "toxicity":
+            assert all(got[r] == n for r, n in whole.items() if not (r[1] or "").split())
