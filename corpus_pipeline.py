@@ -14,30 +14,52 @@ from lodemill.llm.queries import vocabulary
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the line CRF scores 0.5 or more; it learns from ``documents`` and ``labels`` of ``sf_dir``."""
+    """Documents that the line CRF scores 0.5 or more; it learns from ``documents`` and ``labels`` of ``sf_dir``.
+
+    Null, empty and blank texts score 1/2 at most times the model's slant, and stay or go by that; very long texts are
+    scored whole; repeated rows score alike; an empty table stays empty; other columns pass through, whatever their
+    names.
+    """
     model = line_crf.fit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
     return line_crf.good_documents(docs, model)
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose compression distance scores below 0.3."""
+    """Documents whose compression distance scores below 0.3.
+
+    Null, empty and blank texts score 0 and stay; every window of a very long text counts; repeated rows score alike;
+    an empty table stays empty; other columns pass through, whatever their names.
+    """
     model = zstd_toxicity.fit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
     return zstd_toxicity.clean_documents(docs, model)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest doc_id."""
+    """One document of each group of near-duplicates: the one with the smallest doc_id.
+
+    Null, empty and blank texts and rows without doc_id are duplicates of nothing and stay; rows of one doc_id are one
+    document; an empty table stays empty; other columns pass through, whatever their names.
+    """
     return near_duplicates.distinct_documents(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
+    """Documents as often as the mix takes them; their quality weights come from the texts, as stages pass no scores on.
+
+    Null source is a source; null and empty texts have no words and are taken as often as their source has epochs;
+    repeated rows are taken alike; an empty table stays empty; other columns pass through, whatever their names.
+    """
     return mixing.mixed_documents(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each."""
-    return bpe_trie.bpe_round_trip(docs, vocabulary())
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256, ids) of each row: its token ids with digests of them and of the text they decode to.
+
+    Null and empty texts have no ids; copies, which the mix puts side by side, are encoded once; an empty table stays
+    empty; other columns are not read.
+    """
+    rows = bpe_trie.encode_documents(docs, vocabulary())
+    return bpe_trie.digests(rows, "ids")
 
 
 STAGES = [("quality", quality), ("toxicity", toxicity), ("near_dedup", near_dedup), ("mix_sources", mix_sources), ("encode", encode)]
@@ -47,7 +69,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage.  A stage's own intermediate tables, and its input, go once its result is written."""
     scratch, docs = Scratch(spark, "pipeline"), read(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = scratch.save(stage(spark, docs, sf_dir), name)
+    for k, (name, stage) in enumerate(STAGES):
+        mark = Scratch.mark()
+        after = scratch.save(stage(spark, docs, sf_dir), name)
+        Scratch.sweep(mark)
+        if k:
+            scratch.drop(docs)
+        docs = after
     return docs
