@@ -213,7 +213,7 @@ def encode_documents(docs: DataFrame, vocabulary: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = trie_bpe(vocabulary)
-        for b in slices(batches, 4096, 8 << 20):
+        for b in slices(batches, 2048, 4 << 20):
             distinct = b.column(1).fill_null("").dictionary_encode()  # copies, which a mix has side by side, are encoded once
             ids, start = bpe.batch(distinct.dictionary)
             texts = distinct.indices.to_numpy()

@@ -136,7 +136,7 @@ def write_token_files(docs: DataFrame, root: str, vocabulary: str, end_id: int =
         enc, part = piece_encoder(vocabulary), TaskContext.get().partitionId()
         files, docs_, at = None, 0, 0
         try:
-            for b in slices(batches, 4096, 8 << 20):
+            for b in slices(batches, 2048, 4 << 20):
                 ids, start = enc(b.column(1))
                 if files is None:
                     files = _Files(root, part, ("ids", "off", "doc", "set"))
