@@ -143,15 +143,19 @@ def train(rows: list[tuple[str, int]]) -> Model:
     ordinary_ws = [[w for ws in of_ordinary[at_o[f] : at_o[f + 1]] for w in ws] for f in range(n)]
     plain = [_dictionary(ORDINARY_BYTES, _others(ordinary_ws, f), ORDINARY_PIECE) for f in range(n)]
     y = np.concatenate([[1.0] * len(a) + [0.0] * len(b) for a, b in folds])
+    judges = [ws[:: max(1, len(ws) // JUDGES)] for ws in ordinary_ws]
+    # The lengths as ordinary text are the same for every toxic dictionary.
+    lengths = [[np.array(list(map(_length(plain[f]), ws)), np.int64) for ws in (judges[f], toxic_ws[f])] for f in range(n)]
     best = None
     for size in TOXIC_BYTES:
         chosen = toxic_ws
         for _ in range(ROUNDS):
             after = []
             for f in range(n):
-                model = Model(plain[f], _dictionary(size, _others(chosen, f), TOXIC_PIECE), np.zeros(FEATURES))
-                least = np.quantile(model.savings(ordinary_ws[f][:: max(1, len(ordinary_ws[f]) // JUDGES)]) or [0], RARE)
-                after.append([w for w, s in zip(toxic_ws[f], model.savings(toxic_ws[f]), strict=True) if s > least])
+                both = _length(_dictionary(size, _others(chosen, f), TOXIC_PIECE) + plain[f])
+                usual, saved = (of - np.array(list(map(both, ws)), np.int64) for of, ws in zip(lengths[f], (judges[f], toxic_ws[f]), strict=True))
+                least = np.quantile(usual, RARE) if len(usual) else 0
+                after.append([w for w, s in zip(toxic_ws[f], saved.tolist(), strict=True) if s > least])
             chosen = after
         models = [Model(plain[f], _dictionary(size, _others(chosen, f), TOXIC_PIECE), np.zeros(FEATURES)) for f in range(n)]
         curve, cost = _curve(np.vstack([m.matrix([*a, *b]) for m, (a, b) in zip(models, folds, strict=True)]), y)
