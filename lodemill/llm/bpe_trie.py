@@ -41,7 +41,7 @@ def _ids(found: Iterable[list[int]]) -> Ids:
 class TrieBPE:
     """Encoder and decoder of one vocabulary file (JSON with ``model.vocab``, ``model.merges`` and ``added_tokens``)."""
 
-    def __init__(self, vocabulary: str, limit: int = 300_000):
+    def __init__(self, vocabulary: str, limit: int = 200_000):
         import regex
 
         with open(vocabulary, encoding="utf-8") as f:
@@ -213,7 +213,7 @@ def encode_documents(docs: DataFrame, vocabulary: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = trie_bpe(vocabulary)
-        for b in slices(batches, 2048, 4 << 20):
+        for b in slices(batches, 1024, 2 << 20):
             distinct = b.column(1).fill_null("").dictionary_encode()  # copies, which a mix has side by side, are encoded once
             ids, start = bpe.batch(distinct.dictionary)
             texts = distinct.indices.to_numpy()

@@ -67,7 +67,7 @@ class PieceCoder:
     without the space that opens it, or ``BARE`` and the piece.
     """
 
-    def __init__(self, words: Callable[[list[str]], Ids], pieces: Callable[[list[str]], Ids], whole: Callable[[list[str]], Ids], special: Iterable[str], dtype, limit: int = 300_000):
+    def __init__(self, words: Callable[[list[str]], Ids], pieces: Callable[[list[str]], Ids], whole: Callable[[list[str]], Ids], special: Iterable[str], dtype, limit: int = 200_000):
         self.words, self.pieces, self.whole, self.special, self.dtype = words, pieces, whole, list(special), np.dtype(dtype)
         self.known, self.tokens = Memory(limit), Memory(limit)
 
@@ -96,12 +96,13 @@ class PieceCoder:
         lists = pc.split_pattern(pc.binary_join_element_wise(*_large(BARE, pc.if_else(rare, "", texts), "")), " ")
         start, coded = lists.offsets.to_numpy() - lists.offsets[0].as_py(), lists.flatten().dictionary_encode()
         keys, index = coded.dictionary, coded.indices.to_numpy()
+        del lists, coded
         # Plain splitting at spaces is right unless white space stands on both sides of a space.
         odd = pc.match_substring_regex(keys, ODD).to_numpy(zero_copy_only=False)
         again = np.unique(np.searchsorted(start, np.flatnonzero(odd[index]), side="right") - 1) if odd.any() else np.empty(0, np.int64)
         cut = [_OPENING.split(BARE + texts[k].as_py()) for k in again.tolist()]
         values = [self.known(pa.concat_arrays([keys.filter(pa.array(~odd)), pa.array([x for c in cut for x in c], pa.large_string())]), self._learn)]
-        index = (np.cumsum(~odd) - 1)[index]
+        index, keys = (np.cumsum(~odd) - 1)[index], None
         alone = np.flatnonzero(rare.to_numpy(zero_copy_only=False))
         if len(again) + len(alone):  # these texts' pieces, or the texts as one, take the place of what plain splitting found
             values.append(joined(*self.whole([texts[k].as_py() for k in alone.tolist()])))

@@ -40,7 +40,7 @@ class PieceEncoder:
     ``tok`` is the tokenizer as it is, ``inner`` the same without its split pattern, for single pre-tokens.
     """
 
-    def __init__(self, vocabulary: str, limit: int = 300_000):
+    def __init__(self, vocabulary: str, limit: int = 200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -136,7 +136,7 @@ def write_token_files(docs: DataFrame, root: str, vocabulary: str, end_id: int =
         enc, part = piece_encoder(vocabulary), TaskContext.get().partitionId()
         files, docs_, at = None, 0, 0
         try:
-            for b in slices(batches, 2048, 4 << 20):
+            for b in slices(batches, 1024, 2 << 20):
                 ids, start = enc(b.column(1))
                 if files is None:
                     files = _Files(root, part, ("ids", "off", "doc", "set"))
