@@ -10,25 +10,32 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from lodemill.functions.columns import none_if_none, parse_bool
-from lodemill.operators import boosting, boruta, linear, metrics
+from lodemill.operators import boosting, boruta, explain, linear, metrics
 from lodemill.operators.relational import align_covariates, subset_tables
 from lodemill.plans import preprocess as preprocessing
 from lodemill.plans import training
 from lodemill.sources import genotype, sinks
 
 
-def session(kind: str = "local", threads: int = 4, url: str | None = None) -> SparkSession:
-    """A session on this machine, or on the cluster at ``url``."""
+def session(kind: str = "local", threads: int = 4, url: str | None = None, executors: int | None = None) -> SparkSession:
+    """A session on this machine, or on the cluster at ``url``, there with so many executors, or as many as the work asks for."""
     if kind not in ("local", "distributed"):
         raise ValueError(f"unknown kind of cluster {kind!r}")
     b = SparkSession.builder.appName("lodemill").config("spark.sql.adaptive.enabled", "true").config("spark.sql.session.timeZone", "UTC")
     if kind == "local":
         b = b.master(f"local[{threads}]")
-    elif url:
-        b = b.master(url)
+    else:
+        b = scaled(b.master(url) if url else b, executors)
     return b.getOrCreate()
 
 
+def scaled(builder, executors: int | None):
+    """A fixed number of executors, or dynamic allocation with shuffle tracking."""
+    if executors:
+        return builder.config("spark.dynamicAllocation.enabled", "false").config("spark.executor.instances", str(executors))
+    return builder.config("spark.dynamicAllocation.enabled", "true").config("spark.dynamicAllocation.shuffleTracking.enabled", "true")
+
+
 def ingest(spark, a):
     samples, variants = genotype.read_raw(spark, a.in_raw, a.nrows)
     print("rows, variants:", sinks.write_container(samples, variants, a.out))
@@ -65,7 +72,16 @@ def refit(spark, a):
     if a.ykey != "y":
         samples = samples.join(spark.read.parquet(f"{a.data}/samples").select("row_idx", a.ykey), "row_idx")
     params = genotype.read_search_results(spark, a.hp)
-    r = training.refit(samples, variants, params, a.n_boost_round, a.ykey, shap=parse_bool(a.shap))
+    start = genotype.read_booster(spark, a.start_model) if none_if_none(a.start_model) else None
+    rounds = training.Incremental(a.n_boost_per_round, lambda r: f"{a.out_dir}/rounds/{r:04d}", start, a.start_round) if parse_bool(a.incremental) else None
+    r = training.refit(samples, variants, params, a.n_boost_round, a.ykey, shap=parse_bool(a.shap), chunk=a.row_chunks, interactions=parse_bool(a.shap_interactions), metric=none_if_none(a.eval_metric), incremental=rounds)
+    if r.shap is not None:
+        r.shap.write.mode("overwrite").parquet(f"{a.out_dir}/shap_main")
+        sinks.write_csv(spark.createDataFrame([(r.booster.features[i],) for i in r.booster.used()], "predictors string"), f"{a.out_dir}/shap_colnames.csv", header=False)
+    if r.interactions is not None:
+        r.interactions.write.mode("overwrite").parquet(f"{a.out_dir}/shap_interactions")
+    if r.history:
+        sinks.write_csv(spark.createDataFrame([(h["round"], h["metric"], h["value"]) for h in r.history], "round int, metric string, value double"), f"{a.out_dir}/eval_history.csv")
     sinks.write_booster(spark, r.booster, f"{a.out_dir}/model")
     sinks.write_csv(r.importances, f"{a.out_dir}/importances.csv")
     sinks.write_csv(spark.createDataFrame([(f,) for f in r.booster.features], "predictors string"), f"{a.out_dir}/used_cols.csv")
@@ -76,12 +92,19 @@ def refit(spark, a):
 
 def predict(spark, a):
     samples, variants = genotype.read_container(spark, a.data, a.xkey)
-    out = training.predict(samples, variants, genotype.read_booster(spark, a.model))
+    if a.ykey != "y":
+        samples = samples.join(spark.read.parquet(f"{a.data}/samples").select("row_idx", a.ykey), "row_idx")
+    booster = genotype.read_booster(spark, a.model)
+    out = training.predict(samples, variants, booster)
     curve = None
     if none_if_none(a.platt):
         r = spark.read.json(a.platt).first()
         curve = (r.a, r.b)
     sinks.write_csv(sinks.predictions(out, platt=curve), a.out)
+    print(json.dumps(training.score_test(out, a.ykey, "y", curve)))
+    if none_if_none(a.importances):
+        labels = spark.createDataFrame(list(enumerate(booster.features)), "feature int, predictors string")
+        sinks.write_csv(explain.collect_importances(booster.nodes(spark)).join(labels, "feature"), a.importances)
 
 
 def select(spark, a):
@@ -89,6 +112,7 @@ def select(spark, a):
     r = boruta.select(samples, boosting.FitConfig.of(json.loads(a.params)), a.n_boost_round, a.max_iter, a.perc, train_split=a.train_split, on=a.on)
     sinks.write_selected(variants, r.support, a.out, "important")
     sinks.write_selected(variants, r.support_weak, a.out, "tentative")
+    sinks.write_csv(variants.join(spark.createDataFrame(list(enumerate(r.ranking)), "variant_idx int, ranking int"), "variant_idx").select("name", "ranking"), f"{a.out}/ranking.csv")
     print("important", sum(r.support), "tentative", sum(r.support_weak))
 
 
@@ -139,6 +163,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--cluster", default="local")
     p.add_argument("--threads", type=int, default=4)
     p.add_argument("--url")
+    p.add_argument("--executors", type=int)
     s = p.add_subparsers(dest="command", required=True)
 
     def command(f, *flags):
@@ -154,8 +179,8 @@ def parser() -> argparse.ArgumentParser:
     command(adjust, *[(n, need) for n in ("train", "test", "covar", "out_train", "out_test")], ("standardise_covars", text("true")))
     command(subset, ("in_path", need), ("out_path", need), ("snps", text("none")), ("ids", text("none")), *keys)
     command(cv, data, *keys, ("out_dir", need), ("out_prefix", need), ("n_iter", num(10)), ("n_fold", num(5)), ("row_chunks", num(100)), ("n_boost_round", num(50)), ("seed", num(0)), ("cv_subsample", num(0)), ("subsample_min", num(0.7, float)), ("subsample_max", num(0.7, float)))
-    command(refit, data, *keys, ("hp", need), ("out_dir", need), ("n_boost_round", num(None)), ("shap", text("false")))
-    command(predict, data, ("xkey", text("x")), ("model", need), ("platt", text("none")), ("out", need))
+    command(refit, data, *keys, ("hp", need), ("out_dir", need), ("n_boost_round", num(None)), ("shap", text("false")), ("shap_interactions", text("false")), ("eval_metric", text("none")), ("incremental", text("false")), ("n_boost_per_round", num(1)), ("row_chunks", num(100)), ("start_round", num(0)), ("start_model", text("none")))
+    command(predict, data, *keys, ("model", need), ("platt", text("none")), ("out", need), ("importances", text("none")))
     command(select, data, *keys, ("params", text("{}")), ("out", need), ("n_boost_round", num(20)), ("max_iter", num(30)), ("perc", num(100.0, float)), ("train_split", num(1.0, float)), ("on", text("train")))
     command(score, ("predictions", need), ("covars", need), ("out", need), ("sep", text(",")), ("id", text("IID")), ("model", {"choices": ["ols", "rf", "both"], "default": "both"}))
     first = [("in_raw", need), ("out", need), ("nrows", num(None)), ("covar", text("none")), ("maf", num(0.05, float)), ("share", num(0.7, float)), ("seed", num(0))]
@@ -166,7 +191,7 @@ def parser() -> argparse.ArgumentParser:
 
 def main(argv: list[str] | None = None) -> None:
     a = parser().parse_args(argv)
-    a.run(session(a.cluster, a.threads, a.url), a)
+    a.run(session(a.cluster, a.threads, a.url, a.executors), a)
 
 
 if __name__ == "__main__":

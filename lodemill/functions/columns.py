@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lodemill.functions.arrays import take
+
 
 def isclose(a: Column, b: Column, rtol: float = 1e-5, atol: float = 1e-8) -> Column:
     """|a - b| <= atol + rtol * |b|."""
@@ -26,7 +28,7 @@ def seeded(seed: str | int, *cols: Column) -> Column:
 
 def pick(x: Column, index: list[int]) -> Column:
     """Elements of an array at ascending 0-based places."""
-    return F.transform(F.array(*map(F.lit, sorted(index))), lambda i: F.get(x, i))
+    return take(x, sorted(index))
 
 
 def dot(x: Column, beta: Column) -> Column:

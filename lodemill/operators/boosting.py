@@ -13,11 +13,13 @@ from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodemill.functions.arrays import byte_matrix, byte_rows, lists, matrix
+from lodemill.functions.columns import seeded
+
 MISSING = 255
 #: After so many trees margins are brought up to date, so a level evaluates this many trees at most.
 REBASE = 16
@@ -54,7 +56,7 @@ class Booster:
     config: FitConfig
     features: list[str]
     trees: list[list[dict]] = field(default_factory=list)
-    cuts: list[list[float]] = field(default_factory=list)
+    cuts: list[np.ndarray] = field(default_factory=list)
 
     @property
     def base(self) -> float:
@@ -79,12 +81,12 @@ class Booster:
         return spark.createDataFrame(rows, "tree int, node int, depth int, is_leaf boolean, feature int, split_value double, default_left boolean, left int, right int, gain double, cover double, leaf double")
 
     def to_json(self) -> str:
-        return json.dumps({"config": asdict(self.config), "features": self.features, "trees": self.trees, "cuts": self.cuts})
+        return json.dumps({"config": asdict(self.config), "features": self.features, "trees": self.trees, "cuts": [[float(v) for v in c] for c in self.cuts]})
 
     @classmethod
     def from_json(cls, text: str) -> Booster:
         d = json.loads(text)
-        return cls(FitConfig(**d["config"]), d["features"], d["trees"], d["cuts"])
+        return cls(FitConfig(**d["config"]), d["features"], d["trees"], [np.array(c, float) for c in d["cuts"]])
 
     def summary(self) -> dict:
         return {"trees": len(self.trees), "features": len(self.used())}
@@ -105,80 +107,97 @@ def evaluate(tree: list[dict], x: np.ndarray) -> np.ndarray:
     return v[at]
 
 
-def _matrix(col: pa.Array) -> np.ndarray:
-    flat = col.flatten().to_numpy(zero_copy_only=False).astype(float)
-    return flat.reshape(len(col), -1) if len(col) else np.zeros((0, 0))
+#: What the cut points of all features may take on the driver and in each executor.
+CUT_BYTES = 2 << 30
 
 
-def cut_points(df: DataFrame, x: str = "x", max_bin: int = 254) -> list[list[float]]:
+def cut_points(df: DataFrame, x: str = "x", max_bin: int = 254) -> list[np.ndarray]:
     """Ascending cut points of every element of ``x``: distinct values where they are few, else approximate quantiles.
 
     Elements are summarised in one pass: each partition sends, for every feature, a weighted sample of at most
-    4 * max_bin values, and their merge gives the quantiles; the driver gets p * max_bin numbers.
+    4 * max_bin values, and their merge gives the quantiles; the driver gets at most p * max_bin numbers, which have to
+    fit into ``CUT_BYTES``: very wide matrices of continuous values need a smaller ``max_bin``.
     """
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[dict[float, int]] | None = None
+        held: list[tuple[np.ndarray, np.ndarray]] | None = None
         for b in batches:
-            m = _matrix(b.column(0))
+            m = matrix(b.column(0))
             if not m.size:
                 continue
-            held = held or [{} for _ in range(m.shape[1])]
-            for j, h in enumerate(held):
-                v, n = np.unique(m[:, j][~np.isnan(m[:, j])], return_counts=True)
-                for a, c in zip(v.tolist(), n.tolist(), strict=True):
-                    h[a] = h.get(a, 0) + c
-                if len(h) > 8 * max_bin:
-                    held[j] = _thinned(h, 4 * max_bin)
+            held = held or [(np.zeros(0), np.zeros(0, np.int64))] * m.shape[1]
+            m = np.sort(m, axis=0)  # NaN goes last
+            for j, (v, n) in enumerate(held):
+                col = m[: len(m) - np.isnan(m[:, j]).sum(), j]
+                v, n = _merged(np.concatenate([v, col]), np.concatenate([n, np.ones(len(col), np.int64)]))
+                held[j] = (v, n) if len(v) <= 8 * max_bin else _thinned(v, n, 4 * max_bin)
         if held:
-            thin = [_thinned(h, 4 * max_bin) for h in held]
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(thin)), pa.int32()), pa.array([list(h) for h in thin], pa.list_(pa.float64())), pa.array([list(h.values()) for h in thin], pa.list_(pa.int64()))], ["at", "v", "n"])
+            thin = [_thinned(v, n, 4 * max_bin) for v, n in held]
+            ends = pa.array(np.concatenate([[0], np.cumsum([len(v) for v, _ in thin])]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(thin), dtype=np.int32)), *(pa.ListArray.from_arrays(ends, pa.array(np.concatenate([t[k] for t in thin]))) for k in (0, 1))], ["at", "v", "n"])
 
     parts = df.select(F.col(x).cast("array<double>")).mapInArrow(sketch, "at int, v array<double>, n array<long>")
-    one = parts.select("at", F.explode(F.arrays_zip("v", "n")).alias("z")).groupBy("at", F.col("z.v").alias("v")).agg(F.sum("z.n").alias("n"))
-
-    def cut(pdf: pd.DataFrame) -> pd.DataFrame:
-        h = _thinned(dict(sorted(zip(pdf["v"], pdf["n"], strict=True))), max_bin)
-        return pd.DataFrame({"at": [pdf["at"].iloc[0]], "cuts": [list(h)]})
-
-    return [r.cuts for r in sorted(one.groupBy("at").applyInPandas(cut, "at int, cuts array<double>").collect())]
-
-
-def _thinned(h: dict[float, int], most: int) -> dict[float, int]:
+    # One sample from each partition meets in a row of its feature.
+    met = parts.groupBy("at").agg(F.flatten(F.collect_list("v")).alias("v"), F.flatten(F.collect_list("n")).alias("n"))
+
+    @F.arrow_udf("array<double>")
+    def cut(v: pa.Array, n: pa.Array) -> pa.Array:
+        out = [_thinned(*_merged(a.values.to_numpy(), b.values.to_numpy()), max_bin)[0] for a, b in zip(v, n, strict=True)]
+        return pa.array(out, pa.list_(pa.float64()))
+
+    sizes = met.select("at", cut("v", "n").alias("cuts")).persist()
+    total = 8 * (sizes.agg(F.sum(F.size("cuts"))).first()[0] or 0)
+    if total > CUT_BYTES:
+        sizes.unpersist()
+        raise ValueError(f"cut points of {total} bytes are above the bound of {CUT_BYTES}: use a smaller max_bin than {max_bin}")
+    found = sizes.toArrow().combine_chunks().sort_by("at").column(1).combine_chunks()
+    sizes.unpersist()
+    flat, ends = found.flatten().to_numpy(), np.concatenate([[0], np.cumsum(found.value_lengths().to_numpy())]) if len(found) else np.zeros(1, int)
+    return [flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+
+def _merged(v: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values, ascending, with the sums of their weights."""
+    order = np.argsort(v, kind="stable")
+    v, n = v[order], n[order]
+    first = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]])) if len(v) else np.zeros(0, int)
+    return v[first], np.add.reduceat(n, first) if len(v) else n
+
+
+def _thinned(v: np.ndarray, n: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     """At most so many values, evenly spread by weight; the lowest and highest stay."""
-    if len(h) <= most:
-        return dict(sorted(h.items()))
-    v, n = np.array(sorted(h)), np.array([h[a] for a in sorted(h)])
+    if len(v) <= most:
+        return v, n
     mid = np.cumsum(n) - n / 2
     at = np.unique(np.concatenate([[0], np.searchsorted(mid, np.linspace(0, n.sum(), most)[1:-1]).clip(0, len(v) - 1), [len(v) - 1]]))
-    share = np.add.reduceat(n, at)
-    return dict(zip(v[at].tolist(), share.tolist(), strict=True))
+    return v[at], np.add.reduceat(n, at)
 
 
-def bin_rows(df: DataFrame, cuts: list[list[float]], x: str = "x") -> DataFrame:
+def bin_rows(df: DataFrame, cuts: list[np.ndarray], x: str = "x") -> DataFrame:
     """``df`` with code, the bytes of the bins: the number of cut points <= the value, less one; values below all are in bin 0."""
-    sent = df.sparkSession.sparkContext.broadcast([np.array(c) for c in cuts])
+    sent = df.sparkSession.sparkContext.broadcast(cuts)  # bounded by CUT_BYTES
 
-    @F.pandas_udf("binary")
-    def code(col: pd.Series) -> pd.Series:
-        m = np.vstack([np.array(a, float) for a in col]) if len(col) else np.zeros((0, len(sent.value)))
-        out = np.full(m.shape, MISSING, np.uint8)
-        for j, c in enumerate(sent.value):
-            ok = ~np.isnan(m[:, j])
-            out[ok, j] = np.clip(np.searchsorted(c, m[ok, j], side="right") - 1, 0, 254)
-        return pd.Series([r.tobytes() for r in out])
+    @F.arrow_udf("binary")
+    def code(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for b in batches:
+            m = matrix(b)
+            out = np.full(m.shape, MISSING, np.uint8)
+            for j, c in enumerate(sent.value if len(b) else ()):
+                ok = ~np.isnan(m[:, j])
+                out[ok, j] = np.clip(np.searchsorted(c, m[ok, j], side="right") - 1, 0, 254)
+            yield byte_rows(out)
 
     return df.withColumn("code", code(F.col(x).cast("array<double>")))
 
 
 def _uniform(seed: int, rows: np.ndarray) -> np.ndarray:
     """A number in [0, 1) for each row, the same wherever it is computed."""
-    z = (rows.astype(np.uint64) + np.uint64(seed % (1 << 32)) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (rows.astype(np.uint64) + np.uint64(seed % (1 << 32) * 0x9E3779B97F4A7C15 % (1 << 64))) * np.uint64(0xBF58476D1CE4E5B9)
     z = (z ^ (z >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
     return ((z ^ (z >> np.uint64(32))) >> np.uint64(11)).astype(float) / float(1 << 53)
 
 
-def _code_tree(tree: list[dict], cuts: list[list[float]]) -> list[dict]:
+def _code_tree(tree: list[dict], cuts: list[np.ndarray]) -> list[dict]:
     """The tree on bin codes; a split value is always a cut point."""
     return [n if n["feature"] < 0 else n | {"split": float(np.searchsorted(cuts[n["feature"]], n["split"]))} for n in tree]
 
@@ -193,7 +212,8 @@ def _gradients(config: FitConfig, margin: np.ndarray, y: np.ndarray) -> tuple[np
 def fit(df: DataFrame, config: FitConfig, rounds: int, features: list[str] | None = None, x: str = "x", y: str = "y", start: Booster | None = None, history: list[dict] | None = None, metric=None) -> Booster:
     """``rounds`` more trees on ``df(row_idx, x, y)``, after those of ``start``; rows with a null label don't count.
 
-    history: gets {round, metric, value} of the training rows if ``metric`` is 'logloss' or 'rmse'.
+    history: gets {round, metric, value} of the training rows after each round if ``metric`` is 'logloss', 'rmse' or
+    'aucpr'.
     """
     if config.objective not in ("binary:logistic", "reg:squarederror"):
         raise ValueError(f"unknown objective {config.objective!r}")
@@ -239,6 +259,18 @@ def _advanced(binned: DataFrame, coded: list) -> DataFrame:
 
 
 def _loss(binned: DataFrame, config: FitConfig, coded: list, metric: str) -> float:
+    if metric == "aucpr":
+        from lodemill.operators.metrics import score
+
+        def margins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if b.num_rows:
+                    yield pa.RecordBatch.from_arrays([b.column(1), pa.array(_margin_of(b, coded))], ["y_true", "y_pred"])
+
+        return score(binned.mapInArrow(margins, "y_true double, y_pred double"), "aucpr")
+    if metric not in ("logloss", "rmse"):
+        raise ValueError(f"unknown metric {metric!r}")
+
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
@@ -255,7 +287,7 @@ def _loss(binned: DataFrame, config: FitConfig, coded: list, metric: str) -> flo
 
 
 def _codes(b: pa.RecordBatch) -> np.ndarray:
-    return np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint8).reshape(b.num_rows, -1)
+    return byte_matrix(b.column(2))
 
 
 def _as_values(codes: np.ndarray) -> np.ndarray:
@@ -275,7 +307,7 @@ def _margin_of(b: pa.RecordBatch, coded: list) -> np.ndarray:
 
 def _grow(binned: DataFrame, booster: Booster, coded: list, cols: np.ndarray, k: int) -> list[dict]:
     config, cuts = booster.config, booster.cuts
-    width = max(1, *map(len, cuts)) + 1  # bins, and the missing ones
+    width = max(map(len, cuts), default=0) + 1  # bins, and the missing ones
     leaf = lambda depth: {"depth": depth, "feature": -1, "split": 0.0, "default_left": True, "left": -1, "right": -1, "gain": 0.0, "cover": 0.0, "leaf": 0.0}
     tree = [leaf(0)]
     open_ = [0]
@@ -337,7 +369,7 @@ def _histograms(config: FitConfig, coded: list, partial: list[dict], open_: list
                 h_sum[:, j] += np.bincount(flat, h[ok], len(open_) * width).reshape(len(open_), -1)
         if seen:
             n = len(open_) * len(cols)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(open_, len(cols)), pa.int32()), pa.array(np.tile(cols, len(open_)), pa.int32()), pa.array(list(g_sum.reshape(n, -1)), pa.list_(pa.float64())), pa.array(list(h_sum.reshape(n, -1)), pa.list_(pa.float64()))], ["node", "feature", "g", "h"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(open_, len(cols)), pa.int32()), pa.array(np.tile(cols, len(open_)), pa.int32()), lists(g_sum.reshape(n, -1)), lists(h_sum.reshape(n, -1))], ["node", "feature", "g", "h"])
 
     return run
 
@@ -360,8 +392,7 @@ def _splits(config: FitConfig, last: bool):
         names = ["node", "feature", "bin", "default_left", "gain", "g", "h", "gl", "hl"]
         for b in batches:
             out = []
-            for node, feature, gs, hs in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-                gs, hs = np.array(gs), np.array(hs)
+            for node, feature, gs, hs in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), matrix(b.column(2)), matrix(b.column(3)), strict=True):
                 g, h = gs.sum(), hs.sum()
                 best = (0.0, 0, True, 0.0, 0.0)
                 if not last:
@@ -384,30 +415,34 @@ def predict(df: DataFrame, booster: Booster, x: str = "x", out: str = "y_pred",
     """``df`` with the prediction; a booster is a few megabytes, bounded by its rounds and depth, and is broadcast."""
     sent = df.sparkSession.sparkContext.broadcast(booster)
 
-    @F.pandas_udf("double")
-    def run(col: pd.Series) -> pd.Series:
-        if not len(col):
-            return pd.Series([], dtype=float)
-        m = np.vstack([np.array(a, float) for a in col])
-        b = sent.value
-        return pd.Series(b.margin(m) if margin else b.predict_array(m))
+    @F.arrow_udf("double")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for col in batches:
+            m, b = matrix(col), sent.value
+            yield pa.array((b.margin(m) if margin else b.predict_array(m)) if len(col) else np.zeros(0), pa.float64())
 
     return df.withColumn(out, run(F.col(x).cast("array<double>")))
 
 
+def drawn_chunks(chunk: Column, share: float, seed: int, r: int) -> Column:
+    """Whether round ``r`` draws a chunk: by the first 32 bits of md5(seed|round|chunk)."""
+    return F.conv(F.substring(seeded(f"{seed}|{r}", chunk), 1, 8), 16, 10).cast("long") < int(share * (1 << 32))
+
+
 def incremental_fit(df: DataFrame, config: FitConfig, rounds: int, per_round: int, chunk: int, path=None, start: Booster | None = None, start_round: int = 0) -> Booster:
     """Boosting that sees a fresh draw of row chunks each round: a share ``subsample`` of them, and all their rows.
 
-    ``path``: function of the round that says where its model goes, so that a stopped run can go on from ``start_round``.
+    ``path``: function of the round that says in which folder of the cluster's store its model goes, so that a stopped
+    run can go on from ``start_round``.
     """
     booster = start
     share, config = config.subsample, FitConfig(**{**asdict(config), "subsample": 1.0})
     for r in range(start_round, rounds):
-        part = df.where(F.pmod(F.xxhash64(F.floor(F.col("row_idx") / chunk), F.lit(r), F.lit(config.seed)), F.lit(1_000_000)) < int(share * 1_000_000))
+        part = df.where(drawn_chunks(F.floor(F.col("row_idx") / chunk), share, config.seed, r))
         booster = fit(part, config, per_round, start=booster)
         if path:
-            with open(path(r), "w") as f:
-                f.write(booster.to_json())
+            spark = df.sparkSession
+            spark.createDataFrame([(booster.to_json(),)], "value string").coalesce(1).write.mode("overwrite").text(path(r))
     return booster
 
 

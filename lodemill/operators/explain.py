@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodemill.functions.arrays import lists, matrix
 from lodemill.operators.boosting import Booster
 
 
@@ -131,9 +131,10 @@ def shap(df: DataFrame, booster: Booster, x: str = "x", out: str = "phi") -> Dat
     """``df`` with the array of contributions, bias last."""
     sent = df.sparkSession.sparkContext.broadcast(booster)
 
-    @F.pandas_udf("array<double>")
-    def run(col: pd.Series) -> pd.Series:
-        return pd.Series(list(shap_values(sent.value, np.vstack([np.array(a, float) for a in col]))) if len(col) else [], dtype=object)
+    @F.arrow_udf("array<double>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for col in batches:
+            yield lists(shap_values(sent.value, matrix(col))) if len(col) else pa.array([], pa.list_(pa.float64()))
 
     return df.withColumn(out, run(F.col(x).cast("array<double>")))
 
@@ -146,7 +147,7 @@ def shap_interactions(df: DataFrame, booster: Booster, key: str = "row_idx", x:
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
-                m = interaction_values(sent.value, np.array(part.column(1).to_pylist(), float).reshape(part.num_rows, -1), used)
+                m = interaction_values(sent.value, matrix(part.column(1)), used)
                 r, i, j = np.nonzero(m)
                 u = np.array(used, np.int32)
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(r)), pa.array(u[i]), pa.array(u[j]), pa.array(m[r, i, j])], ["k", "i", "j", "phi"])
@@ -162,7 +163,7 @@ def mean_abs(df: DataFrame, col: str = "phi", drop_last: bool = True) -> DataFra
         total, n = None, 0
         for b in batches:
             if b.num_rows:
-                m = np.abs(np.array(b.column(0).to_pylist(), float))
+                m = np.abs(matrix(b.column(0)))
                 total, n = m.sum(0) if total is None else total + m.sum(0), n + len(m)
         if n:
             total = total[:-1] if drop_last else total

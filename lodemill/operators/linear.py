@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodemill.functions.arrays import lists, matrix
+
 
 def zscore_stats(df: DataFrame, cols: list[str]) -> dict[str, tuple[float, float]]:
     """Mean and population standard deviation of each column; a deviation of 0 counts as 1."""
@@ -27,16 +29,16 @@ def slopes_one(long: DataFrame, x: str, c: str, by: str) -> DataFrame:
     return long.groupBy(by).agg(F.regr_slope(x, c).alias("beta"))
 
 
-def slopes(df: DataFrame, covars: list[str], x: str = "x", blocks: int = 64) -> np.ndarray:
+def slopes(df: DataFrame, covars: list[str], x: str = "x") -> np.ndarray:
     """k x p slopes of every element of the array ``x`` on the covariates, with an intercept that is dropped.
 
     One pass: each partition adds up, in matrix products, the moments of its rows; for each element only rows where
-    it isn't null count.  Partial sums meet per block of elements in a hash aggregation, not on the driver; the driver
-    gets the k x p result.
+    it isn't null count.  Partial sums meet by element in a hash aggregation, whose tasks solve the k x k systems in
+    batches; the driver gets the k x p result.
     """
     k = len(covars)
     m = k + 1
-    fields = "block int, at int, moments array<double>"
+    fields = "at int, moments array<double>"
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = cross = None
@@ -44,8 +46,7 @@ def slopes(df: DataFrame, covars: list[str], x: str = "x", blocks: int = 64) ->
             if not b.num_rows:
                 continue
             c = np.column_stack([np.ones(b.num_rows), *(b.column(i).to_numpy(zero_copy_only=False).astype(float) for i in range(k))])
-            flat = b.column(k).flatten().to_numpy(zero_copy_only=False).astype(float)
-            v = flat.reshape(b.num_rows, -1)
+            v = matrix(b.column(k))
             ok = ~np.isnan(v)
             if grams is None:
                 grams, cross = np.zeros((m * m, v.shape[1])), np.zeros((m, v.shape[1]))
@@ -55,37 +56,35 @@ def slopes(df: DataFrame, covars: list[str], x: str = "x", blocks: int = 64) ->
         if grams is not None:
             p = grams.shape[1]
             rows = np.vstack([grams, cross]).T
-            at = np.arange(p)
-            yield pa.RecordBatch.from_arrays([pa.array((at % blocks).astype(np.int32)), pa.array(at.astype(np.int32)), pa.array(list(rows), pa.list_(pa.float64()))], ["block", "at", "moments"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(p, dtype=np.int32)), lists(rows)], ["at", "moments"])
+
+    def solved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                s = matrix(b.column(1))
+                g, v = s[:, : m * m].reshape(-1, m, m), s[:, m * m :, None]
+                yield pa.RecordBatch.from_arrays([b.column(0), lists((np.linalg.pinv(g, hermitian=True) @ v)[:, 1:, 0])], ["at", "beta"])
 
     cols = [F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(covars)]
     parts = df.select(*cols, F.col(x).cast("array<double>").alias("x")).mapInArrow(partial, fields)
     sums = parts.groupBy("at").agg(F.array(*[F.sum(F.get("moments", F.lit(i))) for i in range(m * m + m)]).alias("m"))
-    found = sorted((r["at"], r["m"]) for r in sums.collect())
-    out = np.zeros((k, len(found)))
-    for at, mm in found:
-        g, v = np.array(mm[: m * m]).reshape(m, m), np.array(mm[m * m :])
-        out[:, at] = np.linalg.lstsq(g, v, rcond=None)[0][1:]
-    return out
+    found = sums.mapInArrow(solved, "at int, beta array<double>").toArrow().combine_chunks().sort_by("at")
+    return matrix(found.column(1).combine_chunks()).reshape(len(found), k).T if len(found) else np.zeros((k, 0))
 
 
 def residual_matrix(df: DataFrame, covars: list[str], beta: np.ndarray, x: str = "x", out: str = "x_adjusted") -> DataFrame:
     """``df`` with x - covariates @ beta; no intercept is taken off, missing elements stay missing."""
-    sent = df.sparkSession.sparkContext.broadcast(beta)
-    return df.withColumn(out, residual_udf(sent)(F.col(x).cast("array<double>"), *[F.col(c).cast("double") for c in covars]))
-
+    sent = df.sparkSession.sparkContext.broadcast(beta)  # as many numbers as covariates times elements
 
-def residual_udf(sent):
-    """One matrix product for each Arrow batch."""
-    def resid(x: pd.Series, *c: pd.Series) -> pd.Series:
-        if not len(x):
-            return pd.Series([], dtype=object)
-        v = np.vstack([np.array(a, float) for a in x])
-        r = v - np.column_stack([np.asarray(a, float) for a in c]) @ sent.value
-        return pd.Series([[None if e != e else e for e in row] for row in r])
+    @F.arrow_udf("array<double>")
+    def residual(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        for v, *c in batches:
+            if len(v):
+                yield lists(matrix(v) - np.column_stack([a.to_numpy(zero_copy_only=False).astype(float) for a in c]) @ sent.value)
+            else:
+                yield pa.array([], pa.list_(pa.float64()))
 
-    resid.__annotations__ = {"x": pd.Series, "c": pd.Series, "return": pd.Series}
-    return F.pandas_udf(resid, "array<double>")
+    return df.withColumn(out, residual(F.col(x).cast("array<double>"), *[F.col(c).cast("double") for c in covars]))
 
 
 def residual_expr(x: Column, covars: list[Column], beta: list[float]) -> Column:
@@ -188,11 +187,11 @@ def odds_ratios(long: DataFrame, y: str = "y", x: str = "dosage", by: str = "var
         v, t, n = pdf["x"].to_numpy(), pdf["y"].to_numpy(), pdf["n"].to_numpy()
         c, beta = np.column_stack([np.ones(len(v)), v]), np.zeros(2)
         for _ in range(50):
-            q = 1 / (1 + np.exp(-np.clip(c @ beta, -30, 30)))
+            q = 1 / (1 + np.exp(-np.clip(c @ beta, -700, 700)))
             step = np.linalg.lstsq((c * (n * q * (1 - q))[:, None]).T @ c + 1e-12 * np.eye(2), c.T @ (n * (t - q)), rcond=None)[0]
             beta = beta + step
             if np.abs(step).max() < 1e-10:
                 break
-        return pd.DataFrame({by: [pdf[by].iloc[0]], "beta": [beta[1]], "odds_ratio": [float(np.exp(np.clip(beta[1], -30, 30)))]})
+        return pd.DataFrame({by: [pdf[by].iloc[0]], "beta": [beta[1]], "odds_ratio": [float(np.exp(beta[1]))]})
 
     return counts.groupBy(by).applyInPandas(newton, f"{by} {kind}, beta double, odds_ratio double")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -11,35 +13,42 @@ from lodemill.operators.linear import fit_ols
 from lodemill.operators.relational import labelled
 
 
-def _running(df: DataFrame, score: str, bins: int) -> DataFrame:
-    """Distinct scores with their counts of both labels (pos, neg) and those below (pos_below, neg_below).
+def _by_score(df: DataFrame, value: Column, group: list[str], summed: Callable[[DataFrame], DataFrame], bins: int | None) -> DataFrame:
+    """``summed`` of the distinct scores of each group with their counts of both labels (pos, neg) and those below (pos_below, neg_below).
 
-    The running sums go over ranges of scores: each partition of a range sort has its own sums, and those of the ranges
-    before it come from one row for each range.
+    The running sums go over ranges of (group, score), as many as the session has shuffle partitions: each range has its
+    own sums, and those of the ranges before it come from one row for each range and group.  The result, small by now,
+    is computed at once, so that the ranges can be released.
     """
-    g = df.groupBy(F.col(score).alias("s")).agg(F.sum((F.col("y") == 1).cast("long")).alias("pos"), F.sum((F.col("y") != 1).cast("long")).alias("neg"))
-    r = g.repartitionByRange(bins, "s").withColumn("p", F.spark_partition_id()).persist()
-    totals = r.groupBy("p").agg(F.sum("pos").alias("tp"), F.sum("neg").alias("tn"))
-    before = W.orderBy("p").rowsBetween(W.unboundedPreceding, -1)
-    start = totals.select("p", F.coalesce(F.sum("tp").over(before), F.lit(0)).alias("p0"), F.coalesce(F.sum("tn").over(before), F.lit(0)).alias("n0"))
-    own = W.partitionBy("p").orderBy("s").rowsBetween(W.unboundedPreceding, -1)
-    return r.withColumn("pb", F.coalesce(F.sum("pos").over(own), F.lit(0))).withColumn("nb", F.coalesce(F.sum("neg").over(own), F.lit(0))).join(F.broadcast(start), "p").select("s", "pos", "neg", (F.col("p0") + F.col("pb")).alias("pos_below"), (F.col("n0") + F.col("nb")).alias("neg_below"))
+    spark = df.sparkSession
+    g = df.groupBy(*group, value.alias("s")).agg(F.sum((F.col("y") == 1).cast("long")).alias("pos"), F.sum((F.col("y") != 1).cast("long")).alias("neg"))
+    n = bins or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    r = g.repartitionByRange(n, *group, "s").withColumn("_p", F.spark_partition_id()).persist()
+    totals = r.groupBy("_p", *group).agg(F.sum("pos").alias("tp"), F.sum("neg").alias("tn"))
+    before = W.partitionBy(*group).orderBy("_p").rowsBetween(W.unboundedPreceding, -1)  # a row for each range
+    start = totals.select("_p", *group, *[F.coalesce(F.sum(t).over(before), F.lit(0)).alias(a) for t, a in (("tp", "p0"), ("tn", "n0"))])
+    own = W.partitionBy("_p", *group).orderBy("s").rowsBetween(W.unboundedPreceding, -1)
+    rows = r.withColumns({b: F.coalesce(F.sum(c).over(own), F.lit(0)) for c, b in (("pos", "pb"), ("neg", "nb"))}).join(F.broadcast(start) if not group else start, ["_p", *group])
+    out = summed(rows.select(*group, "s", "pos", "neg", (F.col("p0") + F.col("pb")).alias("pos_below"), (F.col("n0") + F.col("nb")).alias("neg_below")))
+    out = spark.createDataFrame(out.collect(), out.schema)
+    r.unpersist()
+    return out
 
 
-def auc(df: DataFrame, y: str = "y_true", score: str = "y_pred", bins: int = 32) -> DataFrame:
+def auc(df: DataFrame, y: str = "y_true", score: str = "y_pred", bins: int | None = None) -> DataFrame:
     """One row (auc): area under the ROC curve, ties half; null unless both labels occur.  Rows without label or score don't count."""
     rows = labelled(df.select(F.col(y).alias("y"), F.col(score).cast("double").alias("s")), "y").where("s is not null and not isnan(s)")
-    r = _running(rows, "s", bins)
-    won = F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") / 2))
-    return r.agg((won / F.expr("nullif(sum(pos) * sum(neg), 0)")).alias("auc"))
+    return _by_score(rows, F.col("s"), [], lambda r: r.agg(_won().alias("auc")), bins)
+
+
+def _won() -> Column:
+    return F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") / 2)) / F.expr("nullif(sum(pos) * sum(neg), 0)")
 
 
-def auc_by_group(df: DataFrame, group: str, y: str = "y_true", score: str = "y_pred") -> DataFrame:
-    """(group, auc).  Equal scores are one row each before the window."""
-    rows = labelled(df.select(group, F.col(y).alias("y"), F.col(score).alias("s")), "y").where("s is not null")
-    g = rows.groupBy(group, "s").agg(F.sum((F.col("y") == 1).cast("long")).alias("pos"), F.sum((F.col("y") != 1).cast("long")).alias("neg"))
-    below = F.coalesce(F.sum("neg").over(W.partitionBy(group).orderBy("s").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return g.withColumn("b", below).groupBy(group).agg((F.sum(F.col("pos") * (F.col("b") + F.col("neg") / 2)) / F.expr("nullif(sum(pos) * sum(neg), 0)")).alias("auc"))
+def auc_by_group(df: DataFrame, group: str, y: str = "y_true", score: str = "y_pred", bins: int | None = None) -> DataFrame:
+    """(group, auc), one row for each group; a group may span many ranges of scores."""
+    rows = labelled(df.select(group, F.col(y).alias("y"), F.col(score).cast("double").alias("s")), "y").where("s is not null and not isnan(s)")
+    return _by_score(rows, F.col("s"), [group], lambda r: r.groupBy(group).agg(_won().alias("auc")), bins)
 
 
 def rmse(df: DataFrame, y: str = "y_true", p: str = "y_pred") -> DataFrame:
@@ -57,12 +66,11 @@ def logloss(df: DataFrame, y: str = "y_true", p: str = "y_pred", eps: float = 1e
     return labelled(df, y).agg(F.avg(-(F.col(y) * F.log(q) + (1 - F.col(y)) * F.log(1 - q))).alias("logloss"))
 
 
-def aucpr(df: DataFrame, y: str = "y_true", score: str = "y_pred", bins: int = 32) -> DataFrame:
+def aucpr(df: DataFrame, y: str = "y_true", score: str = "y_pred", bins: int | None = None) -> DataFrame:
     """Average precision: precision at each distinct score, weighted by the recall it adds."""
     rows = labelled(df.select(F.col(y).alias("y"), (-F.col(score).cast("double")).alias("s")), "y").where("s is not null")
-    r = _running(rows, "s", bins)
     tp, fp = F.col("pos_below") + F.col("pos"), F.col("neg_below") + F.col("neg")
-    return r.agg((F.sum(F.col("pos") * tp / (tp + fp)) / F.expr("nullif(sum(pos), 0)")).alias("aucpr"))
+    return _by_score(rows, F.col("s"), [], lambda r: r.agg((F.sum(F.col("pos") * tp / (tp + fp)) / F.expr("nullif(sum(pos), 0)")).alias("aucpr")), bins)
 
 
 def score(df: DataFrame, metric: str, y: str = "y_true", p: str = "y_pred") -> float | None:

@@ -64,19 +64,38 @@ def recode_dosage(dosage: Column, allele: Column, counted: Column) -> Column:
 def ld_pairs(variants: DataFrame, long: DataFrame, kb: float) -> DataFrame:
     """(chr, a, b, r2) of variants (variant, chr, pos) on one chromosome within ``kb`` thousand bases.
 
-    Positions fall into windows of that width, so a variant meets those of its own window and the next: an equi-join,
-    not a product.  r2 is the squared correlation over samples with both dosages.
+    r2 is the squared correlation over samples with both dosages, null without two of them or where either doesn't vary.
+    Each variant becomes one vector of its dosages.  Positions fall into windows of ``kb``; a window's task gets the
+    vectors of its own variants and of the next window's, and multiplies matrices.  So a vector moves twice, however many
+    pairs it stands in, and a task holds two windows.
     """
-    width = int(kb * 1000)
-    own = variants.select("chr", "variant", "pos", F.floor(F.col("pos") / max(1, width)).alias("w"))
-    other = own.select("chr", F.col("variant").alias("variant2"), F.col("pos").alias("pos2"), F.explode(F.array("w", F.col("w") - 1)).alias("w"))
-    near = own.join(other, ["chr", "w"]).where((F.struct("pos", "variant") < F.struct("pos2", "variant2")) & (F.col("pos2") - F.col("pos") <= width))
-    near = near.select("chr", "variant", "variant2").distinct()
-    a = near.join(long.select("variant", "iid", F.col("dosage").cast("double").alias("d1")), "variant")
-    b = long.select(F.col("variant").alias("variant2"), "iid", F.col("dosage").cast("double").alias("d2"))
-    r = F.corr("d1", "d2")
-    both = a.join(b, ["variant2", "iid"]).where("d1 is not null and d2 is not null")
-    return both.groupBy("chr", "variant", "variant2").agg((r * r).alias("r2")).selectExpr("chr", "variant a", "variant2 b", "r2")
+    width = max(1, int(kb * 1000))
+    vectors = long.where("dosage is not null").groupBy("variant").agg(F.array_sort(F.collect_list(F.struct("iid", F.col("dosage").cast("double").alias("d")))).alias("v"))
+    own = variants.select("chr", "variant", "pos", F.floor(F.col("pos") / width).alias("w")).join(vectors, "variant")
+    rows = own.select("chr", "variant", "pos", F.explode(F.array(F.struct("w", F.lit(True).alias("own")), F.struct((F.col("w") - 1).alias("w"), F.lit(False).alias("own")))).alias("at"), F.col("v.iid").alias("iid"), F.col("v.d").alias("d"))
+    rows = rows.select("chr", F.col("at.w").alias("w"), F.col("at.own").alias("own"), "variant", "pos", "iid", "d")
+    kinds = dict(rows.dtypes)
+
+    def correlate(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["pos", "variant"], kind="stable").reset_index(drop=True)
+        ids = np.unique(np.concatenate(pdf["iid"].tolist()))
+        d, seen = np.zeros((len(ids), len(pdf))), np.zeros((len(ids), len(pdf)))
+        for k, (i, v) in enumerate(zip(pdf["iid"], pdf["d"], strict=True)):
+            at = np.searchsorted(ids, i)
+            d[at, k], seen[at, k] = v, 1.0
+        left = np.flatnonzero(pdf["own"].to_numpy())
+        n, sx, sy = seen[:, left].T @ seen, d[:, left].T @ seen, seen[:, left].T @ d
+        sxy, sxx, syy = d[:, left].T @ d, (d[:, left] ** 2).T @ seen, seen[:, left].T @ d**2
+        with np.errstate(divide="ignore", invalid="ignore"):
+            vx, vy = n * sxx - sx**2, n * syy - sy**2
+            r2 = np.where((vx > 1e-9) & (vy > 1e-9), (n * sxy - sx * sy) ** 2 / (vx * vy), np.nan)
+        pos, name = pdf["pos"].to_numpy(), pdf["variant"].to_numpy()
+        # Rows stand in order of (pos, variant), so the second of a pair is the later one.
+        i, j = np.nonzero((np.arange(len(pdf))[None, :] > left[:, None]) & (pos[None, :] - pos[left][:, None] <= width))
+        return pd.DataFrame({"chr": pdf["chr"].iloc[0], "a": name[left[i]], "b": name[j], "r2": r2[i, j]})
+
+    found = rows.groupBy("chr", "w").applyInPandas(correlate, f"chr {kinds['chr']}, a {kinds['variant']}, b {kinds['variant']}, r2 double")
+    return found.withColumn("r2", F.when(~F.isnan("r2"), F.col("r2")))
 
 
 def clump(variants: DataFrame, pairs: DataFrame, r2: float = 0.75, p1: float = 1.0, p2: float = 1.0) -> DataFrame:
@@ -105,6 +124,11 @@ def clump(variants: DataFrame, pairs: DataFrame, r2: float = 0.75, p1: float = 1
     return rows.groupBy("chr").applyInPandas(greedy, f"chr {kinds['chr']}, index_variant {kinds['variant']}, variant {kinds['variant']}")
 
 
+def index_variants(clumps: DataFrame) -> DataFrame:
+    """The list of variants that clumping keeps."""
+    return clumps.select("index_variant").distinct()
+
+
 def shuffled_order(df: DataFrame, key: str = "iid", seed: str | int = 0) -> Column:
     """Sort key of a seeded permutation."""
     return seeded(seed, df[key])

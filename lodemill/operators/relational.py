@@ -25,18 +25,16 @@ def variant_places(variants: DataFrame, wanted: DataFrame, by_rsid: bool) -> lis
     """0-based places of wanted variants, ascending: by rsid all alleles of one, else by full name."""
     name = rsid(F.col("name")) if by_rsid else F.col("name")
     keep = variants.withColumn("_n", name).join(wanted.select(F.col(wanted.columns[0]).alias("_n")), "_n", "left_semi")
-    # One row for each variant kept; the places go into the plan.
+    # One row for each variant kept.
     return sorted(r.variant_idx for r in keep.select("variant_idx").collect())
 
 
 def subset_columns(samples: DataFrame, variants: DataFrame, wanted: DataFrame, by_rsid: bool = True, col: str = "x") -> tuple[DataFrame, DataFrame]:
     """Samples and variants cut to the wanted variants, in the order of the matrix, with new places."""
     at = variant_places(variants, wanted, by_rsid)
-    place = F.create_map(*[v for k, i in enumerate(at) for v in (F.lit(i), F.lit(k))]) if at else None
-    kept = variants.where(F.col("variant_idx").isin(at))
-    if place is not None:
-        kept = kept.withColumn("variant_idx", F.element_at(place, F.col("variant_idx")))
-    return samples.withColumn(col, pick(F.col(col), at) if at else F.slice(col, 1, 0)), kept
+    places = samples.sparkSession.createDataFrame([(i, k) for k, i in enumerate(at)], "variant_idx int, _new int")
+    kept = variants.join(places, "variant_idx").withColumn("variant_idx", F.col("_new")).select(*variants.columns)
+    return samples.withColumn(col, pick(F.col(col), at)), kept
 
 
 def subset_tables(samples: DataFrame, variants: DataFrame, ids: DataFrame | None = None, wanted: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -53,6 +51,12 @@ def subset_contributions(phi: Column, used: list[int], p: int, drop_bias: bool =
     return pick(phi, [*used] if drop_bias else [*used, p])
 
 
+def subset_interactions(phi: Column, used: list[int], p: int, drop_bias: bool = True) -> Column:
+    """The same of both axes of an array of p + 1 arrays of interactions."""
+    at = F.array(*map(F.lit, sorted([*used] if drop_bias else [*used, p])))
+    return F.transform(at, lambda i: F.transform(at, lambda j: F.get(F.get(phi, i), j)))
+
+
 def align_covariates(ids: DataFrame, covars: DataFrame, key: str = "iid") -> DataFrame:
     """Covariates in the order of ``ids``.  A missing id is an error; repeated covariate rows repeat."""
     missing = ids.join(covars, key, "left_anti").select(key).take(1)

@@ -19,7 +19,7 @@ def frequent(samples: DataFrame, variants: DataFrame, maf: float) -> tuple[DataF
 def clumped(samples: DataFrame, variants: DataFrame, kb: float, r2: float, p1: float = 1.0, p2: float = 1.0) -> tuple[DataFrame, DataFrame]:
     """Samples and variants (with chr, pos and p) cut to the index variants of their clumps."""
     named = variants.select(F.col("name").alias("variant"), "chr", "pos", "p", "variant_idx")
-    long = samples.select("iid", F.posexplode("x").alias("variant_idx", "dosage")).join(named.select("variant_idx", "variant"), "variant_idx")
+    long = qc.wide_to_long(samples).withColumnRenamed("variant", "variant_idx").join(named.select("variant_idx", "variant"), "variant_idx")
     pairs = qc.ld_pairs(named.select("variant", "chr", "pos"), long.select("variant", "iid", "dosage"), kb)
     index = qc.clump(named.select("variant", "chr", "p"), pairs, r2, p1, p2).select(F.col("index_variant").alias("name")).distinct()
     return R.subset_columns(samples, variants, index, by_rsid=False)

@@ -25,7 +25,7 @@ def query(sql: str | None = None):
     return add
 
 
-#: Elements of x.  Where a query's SQL takes some of them, a query ..._all beside it takes all and has no SQL.
+#: Elements of x.
 WIDTH = 64
 
 
@@ -36,12 +36,16 @@ def rounded(df, *cols, digits=6):
 # Scans and sinks
 
 
-@query(f"WITH {T.SAMPLES} SELECT iid AS fid, iid, '0' AS pat, '0' AS mat, 1.0::DOUBLE AS sex, y + 1 AS phenotype, round(x[1], 6) AS x1, round(x[2], 6) AS x2, NULL::DOUBLE AS x3, 3::BIGINT AS width FROM samples")
+@query(f"WITH {T.SAMPLES} SELECT iid AS fid, iid, '0' AS pat, '0' AS mat, 1.0::DOUBLE AS sex, y + 1 AS phenotype, unnest(range(len(x) + 1))::INT AS variant, round(unnest(list_append(x, NULL)), 6) AS v FROM samples")
 def src_parse_raw(spark, sf):
     s = T.samples(spark, sf)
-    line = F.concat_ws(" ", "iid", "iid", F.lit("0"), F.lit("0"), F.lit("1"), (F.col("y") + 1).cast("string"), F.get("x", F.lit(0)).cast("string"), F.get("x", F.lit(1)).cast("string"), F.lit("NA"))
-    d = s.select(line.alias("value")).select(*genotype.parse_raw(F.col("value")))
-    return d.select("fid", "iid", "pat", "mat", "sex", "phenotype", F.round(F.get("x", F.lit(0)), 6).alias("x1"), F.round(F.get("x", F.lit(1)), 6).alias("x2"), F.get("x", F.lit(2)).alias("x3"), F.size("x").cast("long").alias("width"))
+    d = s.select(raw_line(F.lit("NA")).alias("value")).select(*genotype.parse_raw(F.col("value")))
+    return rounded(d.select("fid", "iid", "pat", "mat", "sex", "phenotype", F.posexplode("x").alias("variant", "v")), "v")
+
+
+def raw_line(*more):
+    """A line of dosages of a sample, with further fields."""
+    return F.concat_ws(" ", "iid", "iid", F.lit("0"), F.lit("0"), F.lit("1"), (F.col("y") + 1).cast("string"), F.array_join(F.col("x").cast("array<string>"), " "), *more)
 
 
 @query(f"WITH {T.SAMPLES}, l AS (SELECT iid, y + 1 AS phenotype FROM samples) SELECT iid, CASE WHEN (SELECT max(phenotype) FROM l) = 2 THEN phenotype - 1 ELSE phenotype END AS y FROM l")
@@ -57,7 +61,7 @@ def shape_check(spark, sf):
     return spark.createDataFrame([(n, p, p)], "n_rows long, width long, most long")
 
 
-@query(f"WITH {T.SAMPLES} SELECT iid, y, round(x[1], 6) AS x1 FROM samples")
+@query(f"WITH {T.LONG} SELECT iid, y, variant, round(v, 6) AS v FROM long")
 def container_read_back(spark, sf):
     from lodemill.sources.scratch import scratch_path
 
@@ -65,7 +69,7 @@ def container_read_back(spark, sf):
     s = T.samples(spark, sf)
     width = s.agg(F.max(F.size("x"))).first()[0]
     sinks.write_container(s, spark.range(width).select(F.col("id").cast("int").alias("variant_idx"), F.concat(F.lit("rs"), "id", F.lit("_A")).alias("name")), path)
-    return genotype.read_container(spark, path)[0].select("iid", "y", F.round(F.get("x", F.lit(0)), 6).alias("x1"))
+    return rounded(genotype.read_container(spark, path)[0].select("iid", "y", F.posexplode("x").alias("variant", "v")), "v")
 
 
 @query("SELECT c_custkey::VARCHAR AS fid, c_custkey::VARCHAR AS iid, round(c_acctbal, 2) AS cov1, c_nationkey::DOUBLE AS cov2 FROM customer")
@@ -119,10 +123,10 @@ def subset_predictors(spark, sf):
     return s.select("iid", *[F.round(F.get("x", F.lit(i)), 6).alias(n) for i, n in enumerate("abc")])
 
 
-@query(f"WITH {T.SAMPLES} SELECT iid, round(x[1], 6) AS a, round(x[64], 6) AS bias FROM samples")
+@query(f"WITH {T.LONG} SELECT iid, (CASE WHEN variant = 63 THEN 32 ELSE variant // 2 END)::INT AS place, round(v, 6) AS phi FROM long WHERE variant % 2 = 0 OR variant = 63")
 def subset_contributions(spark, sf):
-    s = T.samples(spark, sf).withColumn("phi", R.subset_contributions(F.col("x"), [0], 63, drop_bias=False))
-    return s.select("iid", F.round(F.get("phi", F.lit(0)), 6).alias("a"), F.round(F.get("phi", F.lit(1)), 6).alias("bias"))
+    s = T.samples(spark, sf).withColumn("phi", R.subset_contributions(F.col("x"), list(range(0, 63, 2)), 63, drop_bias=False))
+    return rounded(s.select("iid", F.posexplode("phi").alias("place", "phi")), "phi")
 
 
 @query(f"WITH {T.SAMPLES} SELECT row_idx, iid FROM samples WHERE row_idx < 100")
@@ -191,27 +195,19 @@ def variant_missingness(spark, sf):
     return rounded(qc.allele_frequencies(d).select("variant", "missing"), "missing", digits=9)
 
 
-@query(f"WITH {T.LONG} SELECT iid, variant, dosage FROM long WHERE variant < 4 AND iid NOT IN (SELECT doc_id::VARCHAR FROM labels)")
-def sample_removal(spark, sf, features=4):
+@query(f"WITH {T.LONG} SELECT iid, variant, dosage FROM long WHERE iid NOT IN (SELECT doc_id::VARCHAR FROM labels)")
+def sample_removal(spark, sf):
     ids = T.table(spark, sf, "labels").select(F.col("doc_id").cast("string").alias("iid"))
-    return qc.filter_maf(T.long(spark, sf, features), 0.0, ids).select("iid", "variant", "dosage")
+    return qc.filter_maf(T.long(spark, sf), 0.0, ids).select("iid", "variant", "dosage")
 
 
-@query()
-def sample_removal_all(spark, sf):
-    return sample_removal(spark, sf, WIDTH)
-
 
-@query(f"WITH {T.LONG} SELECT iid, variant, CASE WHEN variant % 2 = 0 THEN dosage ELSE 2 - dosage END AS dosage FROM long WHERE variant < 4")
-def allele_recode(spark, sf, features=4):
-    d = T.long(spark, sf, features)
+@query(f"WITH {T.LONG} SELECT iid, variant, CASE WHEN variant % 2 = 0 THEN dosage ELSE 2 - dosage END AS dosage FROM long")
+def allele_recode(spark, sf):
+    d = T.long(spark, sf)
     return d.select("iid", "variant", qc.recode_dosage(F.col("dosage"), F.when(F.col("variant") % 2 == 0, "A").otherwise("G"), F.lit("A")).alias("dosage"))
 
 
-@query()
-def allele_recode_all(spark, sf):
-    return allele_recode(spark, sf, WIDTH)
-
 
 _LD = f"""WITH {T.LONG}, {T.VARIANTS},
     near AS (SELECT u.chr, u.pos AS a, v.pos AS b, u.variant AS va, v.variant AS vb FROM variants u JOIN variants v ON u.chr = v.chr AND u.pos < v.pos AND v.pos - u.pos <= 1000),
@@ -230,12 +226,29 @@ def ld_r2_window(spark, sf):
     return rounded(_ld(spark, sf).where("r2 is not null"), "r2")
 
 
-@query()
-def clump_greedy(spark, sf):
+_CLUMPS = _LD.replace("WITH ", "WITH RECURSIVE ", 1) + """, strong AS (SELECT chr, a, b FROM r WHERE r2 >= 0.75), ties AS (SELECT chr, a AS v, list(b) AS near FROM (SELECT * FROM strong UNION ALL SELECT chr, b, a FROM strong) GROUP BY 1, 2),
+    o AS (SELECT chr, pos AS v, row_number() OVER (PARTITION BY chr ORDER BY p, pos) AS k FROM variants),
+    g(chr, k, taken, own, v) AS (SELECT DISTINCT chr, 0::BIGINT, []::BIGINT[], []::BIGINT[], NULL::BIGINT FROM variants
+        UNION ALL SELECT o.chr, o.k, list_concat(g.taken, n.own), n.own, o.v FROM g JOIN o ON o.chr = g.chr AND o.k = g.k + 1 LEFT JOIN ties t ON t.chr = o.chr AND t.v = o.v,
+            LATERAL (SELECT CASE WHEN list_contains(g.taken, o.v) THEN []::BIGINT[] ELSE list_prepend(o.v, list_filter(coalesce(t.near, []), lambda u: NOT list_contains(g.taken, u))) END AS own) n),
+    c AS (SELECT chr, v AS index_variant, unnest(own) AS variant FROM g)"""
+
+
+def _clumps(spark, sf):
     v = T.variants(spark, sf).select(F.col("pos").alias("variant"), "chr", "p")
     return qc.clump(v, _ld(spark, sf), r2=0.75)
 
 
+@query(_CLUMPS + " SELECT chr, index_variant, variant FROM c")
+def clump_greedy(spark, sf):
+    return _clumps(spark, sf)
+
+
+@query(_CLUMPS + " SELECT DISTINCT index_variant FROM c")
+def clump_index_list(spark, sf):
+    return qc.index_variants(_clumps(spark, sf))
+
+
 @query(f"WITH {T.SAMPLES} SELECT iid, row_number() OVER (ORDER BY md5('7|' || iid)) - 1 AS place FROM samples")
 def shuffle_row_idx(spark, sf):
     s = T.samples(spark, sf).select("iid")
@@ -255,9 +268,20 @@ def split_ids_test(spark, sf):
     return qc.split_ids(T.samples(spark, sf).select("iid"), 0.7, "iid", 3).where("split = 'test'").select("iid")
 
 
-@query("SELECT count(*) AS n FROM lineitem")
+@query("SELECT count(*) AS n FROM embeddings")
 def raw_row_count(spark, sf):
-    return T.table(spark, sf, "lineitem").agg(F.count("*").alias("n"))
+    return spark.createDataFrame([(genotype.count_raw_rows(spark, write_raw(spark, T.samples(spark, sf))),)], "n long")
+
+
+def write_raw(spark, samples, files=4):
+    """Path of a text of dosages of the samples, its header first, in several files."""
+    from lodemill.sources.scratch import scratch_path
+
+    path = scratch_path(spark, "raw")
+    names = " ".join(["FID", "IID", "PAT", "MAT", "SEX", "PHENOTYPE", *(f"f{i}" for i in range(WIDTH))])
+    rows = spark.createDataFrame([(-1, names)], "k long, value string").unionAll(samples.select(F.col("row_idx").alias("k"), raw_line()))
+    rows.repartitionByRange(files, "k").sortWithinPartitions("k").select("value").write.text(path)
+    return path
 
 
 # Regression
@@ -296,17 +320,13 @@ def beta_k2(spark, sf):
     return spark.createDataFrame([(i, round(float(b[0, i]), 8), round(float(b[1, i]), 6)) for i in range(b.shape[1])], "variant int, b1 double, b2 double")
 
 
-@query(_BETA2 + " SELECT iid, variant, round(v - b1 * c1 - b2 * c2, 5) AS r FROM c JOIN b USING (variant) WHERE variant < 8")
-def residual_x(spark, sf, features=8):
+@query(_BETA2 + " SELECT iid, variant, round(v - b1 * c1 - b2 * c2, 5) + 0.0 AS r FROM c JOIN b USING (variant)")
+def residual_x(spark, sf):
     s, b = _beta2(spark, sf)
     d = linear.residual_matrix(s, ["c1", "c2"], b)
-    return rounded(d.select("iid", F.posexplode(F.slice("x_adjusted", 1, features)).alias("variant", "r")), "r", digits=5)
+    return rounded(d.select("iid", F.posexplode("x_adjusted").alias("variant", "r")), "r", digits=5).withColumn("r", F.col("r") + 0.0)  # no -0.0
 
 
-@query()
-def residual_x_all(spark, sf):
-    return residual_x(spark, sf, WIDTH)
-
 
 @query(f"WITH {T.CUSTOMERS}, b AS (SELECT regr_slope(y_true, acctbal) AS b FROM customers) SELECT iid, round(y_true - b * acctbal, 6) AS y_adjusted FROM customers, b")
 def residual_y(spark, sf):
@@ -315,35 +335,30 @@ def residual_y(spark, sf):
     return rounded(d.select("iid", linear.residual_expr(F.col("y_true"), [F.col("acctbal")], list(b)).alias("y_adjusted")), "y_adjusted")
 
 
-@query(f"""WITH {T.SAMPLES}, d AS (SELECT *, row_idx::DOUBLE AS c FROM samples), t AS (SELECT avg(c) AS m, stddev_pop(c) AS s FROM d WHERE row_idx < 300),
-    z AS (SELECT *, (c - m) / s AS z FROM d, t), b AS (SELECT regr_slope(x[1], z) AS b_x, regr_slope(y, z) AS b_y FROM z WHERE row_idx < 300)
-    SELECT iid, round(x[1] - b_x * z, 5) AS x_adjusted, round(y - b_y * z, 5) AS y_adjusted FROM z, b""")
-def adjust_train_test(spark, sf):
-    s = T.samples(spark, sf).withColumn("c", F.col("row_idx").cast("double"))
-    a, b = linear.adjust(s.where("row_idx < 300"), s.where("row_idx >= 300"), ["c"])
-    return rounded(a.unionByName(b).select("iid", F.get("x_adjusted", F.lit(0)).alias("x_adjusted"), "y_adjusted"), "x_adjusted", "y_adjusted", digits=5)
+_ADJUSTED = f"""WITH {T.LONG}, k AS (SELECT count(*) * 3 // 5 AS cut FROM samples), t AS (SELECT avg(row_idx) AS m, stddev_pop(row_idx) AS s FROM samples, k WHERE row_idx < cut),
+    z AS (SELECT row_idx, iid, y, variant, v, (row_idx - m) / s AS z, cut FROM long, t, k), b AS (SELECT variant, regr_slope(v, z) AS b_x, regr_slope(y, z) AS b_y FROM z WHERE row_idx < cut GROUP BY 1)"""
 
 
-@query()
-def adjust_train_test_all(spark, sf):
-    """All elements; the first 60 % of the rows train."""
+def _adjusted(spark, sf):
+    """The first 60 % of the rows train."""
     s = T.samples(spark, sf).withColumn("c", F.col("row_idx").cast("double"))
     cut = s.count() * 3 // 5
-    a, b = linear.adjust(s.where(f"row_idx < {cut}"), s.where(f"row_idx >= {cut}"), ["c"])
+    return linear.adjust(s.where(f"row_idx < {cut}"), s.where(f"row_idx >= {cut}"), ["c"])
+
+
+@query(_ADJUSTED + " SELECT iid, variant, round(v - b_x * z, 5) AS x_adjusted, round(y - b_y * z, 5) AS y_adjusted FROM z JOIN b USING (variant)")
+def adjust_train_test(spark, sf):
+    a, b = _adjusted(spark, sf)
     return rounded(a.unionByName(b).select("iid", F.posexplode("x_adjusted").alias("variant", "x_adjusted"), "y_adjusted"), "x_adjusted", "y_adjusted", digits=5)
 
 
-@query(f"""WITH {T.LONG}, d AS (SELECT variant, y, (dosage > 1)::INT AS e FROM long WHERE variant < 16),
+@query(f"""WITH {T.LONG}, d AS (SELECT variant, y, (dosage > 1)::INT AS e FROM long),
     n AS (SELECT variant, sum(e * y) AS a, sum(e * (1 - y)) AS b, sum((1 - e) * y) AS c, sum((1 - e) * (1 - y)) AS d FROM d GROUP BY 1) SELECT variant, round(a * d / (b * c), 5) AS odds_ratio FROM n""")
-def odds_ratio_2x2(spark, sf, features=16):
-    d = T.long(spark, sf, features).withColumn("dosage", (F.col("dosage") > 1).cast("double"))
+def odds_ratio_2x2(spark, sf):
+    d = T.long(spark, sf).withColumn("dosage", (F.col("dosage") > 1).cast("double"))
     return rounded(linear.odds_ratios(d).select("variant", "odds_ratio"), "odds_ratio", digits=5)
 
 
-@query()
-def odds_ratio_2x2_all(spark, sf):
-    return odds_ratio_2x2(spark, sf, WIDTH)
-
 
 # Splits and search
 
@@ -445,58 +460,60 @@ def platt_newton_step(spark, sf):
     return rounded(metrics.newton_sums(T.items(spark, sf), 0.1, 0.2, "y_true", "y_pred"), "sw", "swp", "swpp", "se", "sep", digits=3)
 
 
-@query()
+def _newton(rows: str, ridge: float) -> str:
+    """Newton's steps of the logistic curve of t on v as a recursive table n(i, a, b), over rows (v, t, k): k of them alike."""
+    return f"""d AS ({rows}), n(i, a, b) AS (SELECT 0, 0.0::DOUBLE, 0.0::DOUBLE UNION ALL
+        SELECT i + 1, a + (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01), b + (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01)
+        FROM (SELECT i, a, b, sum(w) AS h00, sum(w * v) AS h01, sum(w * v * v) + {ridge} AS h11, sum(k * (t - q)) AS g0, sum(k * (t - q) * v) - {ridge} * b AS g1
+              FROM (SELECT i, a, b, v, t, k, 1 / (1 + exp(-(a + b * v))) AS q, k * q * (1 - q) AS w FROM n, d WHERE i < 30) GROUP BY i, a, b))"""
+
+
+@query(f"WITH RECURSIVE {T.ITEMS}, {_newton('SELECT y_pred::DOUBLE AS v, y_true AS t, count(*) AS k FROM items GROUP BY 1, 2', 0.0)} SELECT round(a, 6) AS a, round(b, 6) AS b FROM n WHERE i = 30")
 def platt_fit(spark, sf):
     a, b = linear.platt_fit(T.items(spark, sf))
     return spark.createDataFrame([(round(a, 6), round(b, 6))], "a double, b double")
 
 
+@query(f"WITH RECURSIVE {T.CUSTOMERS}, {_newton('SELECT acctbal / 1000 AS v, y_true AS t, 1 AS k FROM customers', 1.0)} SELECT round(b, 6) AS beta FROM n WHERE i = 30")
+def y_slopes_logistic(spark, sf):
+    b = linear.y_slopes(T.customers(spark, sf).withColumn("v", F.col("acctbal") / 1000), ["v"], "y_true", "logistic")
+    return spark.createDataFrame([(round(float(b[0]), 6),)], "beta double")
+
+
 # Boosting and explanation
 
 
-def _stump_data(spark, sf, features=8):
-    return T.samples(spark, sf).withColumn("x", F.transform(F.slice("x", 1, features), lambda v: F.when(v < -0.085, 0.0).when(v > 0.085, 2.0).otherwise(1.0)))
+def _stump_data(spark, sf):
+    return T.samples(spark, sf).withColumn("x", F.transform("x", lambda v: F.when(v < -0.085, 0.0).when(v > 0.085, 2.0).otherwise(1.0)))
 
 
-_STUMP = f"""WITH {T.LONG}, s AS (SELECT variant AS f, dosage AS v, sum(0.5 - y) AS g, count(*) * 0.25::DOUBLE AS h FROM long WHERE variant < 8 GROUP BY 1, 2),
+_STUMP = f"""WITH {T.LONG}, s AS (SELECT variant AS f, dosage AS v, sum(0.5 - y) AS g, count(*) * 0.25::DOUBLE AS h FROM long GROUP BY 1, 2),
     c AS (SELECT f, v, sum(g) OVER (PARTITION BY f ORDER BY v) - g AS gl, sum(h) OVER (PARTITION BY f ORDER BY v) - h AS hl, sum(g) OVER (PARTITION BY f) AS g, sum(h) OVER (PARTITION BY f) AS h FROM s),
     k AS (SELECT *, 0.5 * (gl * gl / (hl + 1) + (g - gl) * (g - gl) / (h - hl + 1) - g * g / (h + 1)) AS gain FROM c WHERE hl >= 1 AND h - hl >= 1),
     b AS (SELECT * FROM k ORDER BY round(gain, 9) DESC, f, v LIMIT 1)"""
 
 
-def _stump(spark, sf, features=8):
-    return boosting.fit(_stump_data(spark, sf, features), boosting.FitConfig(max_depth=1, eta=0.3), 1)
+def _stump(spark, sf):
+    return boosting.fit(_stump_data(spark, sf), boosting.FitConfig(max_depth=1, eta=0.3), 1)
 
 
 @query(f"{_STUMP} SELECT f AS feature, v::DOUBLE AS split_value, round(gain, 6) AS gain, round(h, 6) AS cover FROM b")
-def stump_gain(spark, sf, features=8):
-    return rounded(_stump(spark, sf, features).nodes(spark).where("not is_leaf").select("feature", "split_value", "gain", "cover"), "gain", "cover")
-
+def stump_gain(spark, sf):
+    return rounded(_stump(spark, sf).nodes(spark).where("not is_leaf").select("feature", "split_value", "gain", "cover"), "gain", "cover")
 
-@query()
-def stump_gain_all(spark, sf):
-    return stump_gain(spark, sf, WIDTH)
 
 
 @query(f"{_STUMP} SELECT 'left' AS side, round(-0.3 * gl / (hl + 1), 6) AS leaf FROM b UNION ALL SELECT 'right', round(-0.3 * (g - gl) / (h - hl + 1), 6) FROM b")
-def stump_leaf(spark, sf, features=8):
-    return rounded(_stump(spark, sf, features).nodes(spark).where("is_leaf").select(F.when(F.col("node") == 1, "left").otherwise("right").alias("side"), "leaf"), "leaf")
+def stump_leaf(spark, sf):
+    return rounded(_stump(spark, sf).nodes(spark).where("is_leaf").select(F.when(F.col("node") == 1, "left").otherwise("right").alias("side"), "leaf"), "leaf")
 
 
-@query()
-def stump_leaf_all(spark, sf):
-    return stump_leaf(spark, sf, WIDTH)
 
+@query(f"WITH {T.LONG} SELECT variant, dosage AS cut FROM long GROUP BY 1, 2")
+def bin_quantile(spark, sf):
+    cuts = boosting.cut_points(_stump_data(spark, sf))
+    return spark.createDataFrame([(i, float(c)) for i, cs in enumerate(cuts) for c in cs], "variant int, cut double")
 
-@query(f"WITH {T.LONG} SELECT variant, dosage AS cut FROM long WHERE variant < 8 GROUP BY 1, 2")
-def bin_quantile(spark, sf, features=8):
-    cuts = boosting.cut_points(_stump_data(spark, sf, features))
-    return spark.createDataFrame([(i, c) for i, cs in enumerate(cuts) for c in cs], "variant int, cut double")
-
-
-@query()
-def bin_quantile_all(spark, sf):
-    return bin_quantile(spark, sf, WIDTH)
 
 
 def _node(feature=-1, split=0.0, left=-1, right=-1, cover=1.0, leaf=0.0, gain=0.0, depth=0):
@@ -515,16 +532,6 @@ def predict_fixed_tree(spark, sf):
     return rounded(boosting.predict(T.samples(spark, sf), fixed_booster()).select("iid", "y_pred"), "y_pred")
 
 
-@query("SELECT * FROM (VALUES (0, 1::BIGINT, 5.0::DOUBLE, 100.0::DOUBLE, 5.0::DOUBLE, 100.0::DOUBLE), (3, 2::BIGINT, 1.5::DOUBLE, 80.0::DOUBLE, 3.0::DOUBLE, 160.0::DOUBLE)) t(feature, weight, gain, cover, total_gain, total_cover)")
-def tree_importances(spark, sf):
-    return explain.importances(fixed_booster().nodes(spark))
-
-
-@query("SELECT 2::BIGINT AS trees, 2::BIGINT AS features")
-def tree_counts(spark, sf):
-    return explain.tree_stats(fixed_booster().nodes(spark))
-
-
 @query(f"WITH {T.SAMPLES} SELECT iid, round(CASE WHEN x[4] < -0.02 THEN -0.2 ELSE 0.25 END - (0.3 * -0.2 + 0.7 * 0.25), 6)::DOUBLE AS phi, round(0.3 * -0.2 + 0.7 * 0.25, 6)::DOUBLE AS bias FROM samples")
 def shap_stump(spark, sf):
     b = fixed_booster()
@@ -544,23 +551,11 @@ def shap_mean_abs(spark, sf):
     return rounded(explain.mean_abs(T.samples(spark, sf), "x", drop_last=False), "shap_mean_abs")
 
 
-@query()
-def shap_interactions(spark, sf):
-    return rounded(explain.shap_interactions(T.samples(spark, sf).select("row_idx", "x"), fixed_booster()), "phi")
-
-
 @query(f"WITH {T.LONG} SELECT variant AS feature, round(avg(abs(v)), 6) AS shap_mean_abs FROM long GROUP BY 1 ORDER BY avg(abs(v)) DESC, 1 LIMIT 5")
 def top_features(spark, sf):
     return rounded(explain.top_features(explain.mean_abs(T.samples(spark, sf), "x", drop_last=False), "shap_mean_abs"), "shap_mean_abs")
 
 
-@query()
-def boosted_fit(spark, sf):
-    s = T.samples(spark, sf)
-    m = boosting.fit(s, boosting.FitConfig(max_depth=3, eta=0.3, subsample=0.8, colsample_bytree=0.8), 3)
-    return rounded(boosting.predict(s, m).select("iid", "y", "y_pred"), "y_pred")
-
-
 # Boruta
 
 _IMP = f"{T.LONG}, imp AS (SELECT variant AS feature, (row_idx % 5)::INT AS iteration, CASE WHEN variant % 9 = 0 THEN NULL ELSE round(avg(abs(v)), 6) END AS imp FROM long GROUP BY variant, row_idx % 5, variant % 9)"
@@ -626,16 +621,11 @@ def tentative_weak(spark, sf):
     return rounded(boruta.tentative(_imp(spark, sf), even, 0.098), "median_imp")
 
 
-@query(f"WITH {T.LONG} SELECT variant AS j, round(sum(v), 6) AS s, round(min(v), 6) AS lo, round(max(v), 6) AS hi, count(*) AS n FROM long WHERE variant IN (1, 5) GROUP BY 1")
-def shadow_permutation(spark, sf, features=(1, 5)):
-    d = boruta.permuted_columns(T.samples(spark, sf), list(features), 4).select(F.posexplode("shadow").alias("k", "v"))
-    j = F.get(F.array(*map(F.lit, features)), F.col("k"))
-    return rounded(d.groupBy(j.alias("j")).agg(F.sum("v").alias("s"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("n")), "s", "lo", "hi")
-
+@query(f"WITH {T.LONG} SELECT variant AS j, round(sum(v), 6) AS s, round(min(v), 6) AS lo, round(max(v), 6) AS hi, count(*) AS n FROM long GROUP BY 1")
+def shadow_permutation(spark, sf):
+    d = boruta.permuted_columns(T.samples(spark, sf), list(range(WIDTH)), 4).select(F.posexplode("shadow").alias("j", "v"))
+    return rounded(d.groupBy("j").agg(F.sum("v").alias("s"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("n")), "s", "lo", "hi")
 
-@query()
-def shadow_permutation_all(spark, sf):
-    return shadow_permutation(spark, sf, range(WIDTH))
 
 
 # Aggregations

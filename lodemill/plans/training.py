@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodemill.functions.columns import pick
+from lodemill.functions.arrays import matrix, take
+from lodemill.functions.columns import pick, platt
 from lodemill.operators import boosting, explain, folds, linear, metrics
 from lodemill.operators.boosting import Booster, FitConfig
-from lodemill.operators.relational import head_rows, join_covariates
+from lodemill.operators.relational import head_rows, join_covariates, subset_contributions
 
 
 @dataclass
@@ -31,7 +35,7 @@ def objective_of(y: str) -> tuple[str, str]:
 def one_round_cv(df: DataFrame, params: dict, k: int, chunk: int, rounds: int, y: str = "y", x: str = "x") -> tuple[list[dict], DataFrame]:
     """Scores of each fold, and the stacked out-of-fold predictions (row_idx, iid, y_true, y_pred, fold)."""
     objective, metric = objective_of(y)
-    rows = folds.kfold(df, k, chunk).persist()
+    rows = folds.kfold(df, k, chunk)
     scores, parts = [], []
     for f in range(k):
         test, train = rows.where(F.col("fold") == f), rows.where(F.col("fold") != f)
@@ -62,7 +66,8 @@ def cross_validate(df: DataFrame, n_iter: int, k: int, chunk: int, rounds: int,
     best = folds.best_row(mean).first()
     chosen = next(p for p in grid if p["eta"] == best.eta and p["max_depth"] == best.max_depth and p["colsample_bytree"] == best.colsample_bytree)
     sign = -1 if best.metric == "AUC" else 1
-    return CVResult(mean.orderBy(F.col("score") * sign), {**chosen, "n_boost_round": rounds}, best.score, kept[chosen["param_id"]])
+    order = [F.col("score") * sign, "eta", "max_depth", "subsample", "colsample_bytree"]
+    return CVResult(mean.orderBy(*order), {**chosen, "n_boost_round": rounds}, best.score, kept[chosen["param_id"]])
 
 
 @dataclass
@@ -72,44 +77,100 @@ class Refit:
     importances: DataFrame
     score: float | None
     platt: tuple[float, float] | None
+    history: list[dict]
+    shap: DataFrame | None
+    interactions: DataFrame | None
 
 
-def refit(df: DataFrame, variants: DataFrame, params: dict, rounds: int | None = None, y: str = "y", x: str = "x", shap: bool = False, k: int = 5, chunk: int = 100) -> Refit:
+@dataclass
+class Incremental:
+    """``per_round`` trees on a fresh draw of row chunks each round; ``path``: folder of a round's model; ``start``, ``start_round``: where to go on."""
+
+    per_round: int
+    path: Callable[[int], str] | None = None
+    start: Booster | None = None
+    start_round: int = 0
+
+
+def refit(df: DataFrame, variants: DataFrame, params: dict, rounds: int | None = None, y: str = "y", x: str = "x", shap: bool = False, k: int = 5, chunk: int = 100, interactions: bool = False, metric: str | None = None, incremental: Incremental | None = None) -> Refit:
     """Fits all predictors, keeps those that split, and fits again on them alone.
 
     A curve that turns scores into probabilities is fitted on out-of-fold predictions where y is 'y_adjusted'.
+    ``metric``: of the training rows after each round of the second fit.  ``shap``, ``interactions``: contributions (iid,
+    phi without bias) and (row_idx, i, j, phi) of the predictors used.  ``incremental`` makes the second fit in rounds.
     """
     n = rounds or int(params.get("n_boost_round", 100))
-    objective, metric = objective_of(y)
-    config = FitConfig.of(params, objective=objective)
+    objective, by = objective_of(y)
+    config, history = FitConfig.of(params, objective=objective), []
     names = [r["name"] for r in variants.orderBy("variant_idx").collect()]
     first = boosting.fit(df, config, n, names, x, y)
     used = first.used()
-    small, final = subset_and_refit(df, used, names, config, n, y, x)
+    if incremental:
+        small = df.withColumn(x, pick(F.col(x), used))
+        final = boosting.incremental_fit(small.select("row_idx", F.col(x).alias("x"), F.col(y).alias("y")), config, n, incremental.per_round, chunk, incremental.path, incremental.start, incremental.start_round)
+        final.features = [names[i] for i in used]
+    else:
+        small, final = subset_and_refit(df, used, names, config, n, y, x, history, metric)
     pred = boosting.predict(small, final, x).select(F.col(y).alias("y_true"), "y_pred")
     contributions = explain.shap(small, final, x) if shap else None
+    splits = final.used()
+    main = contributions.select("iid", subset_contributions(F.col("phi"), splits, len(final.features)).alias("phi")) if shap else None
+    pairs = explain.shap_interactions(small, final, x=x) if interactions else None
     imp = explain.collect_importances(final.nodes(df.sparkSession), contributions)
     labels = df.sparkSession.createDataFrame(list(enumerate(final.features)), "feature int, predictors string")
     curve = None
     if y == "y_adjusted":
         _, oof = one_round_cv(small, params, k, chunk, n, y, x)
         curve = linear.platt_fit(oof.select("row_idx", "y_pred").join(df.select("row_idx", F.col("y").alias("y_true")), "row_idx"))
-    return Refit(final, used, imp.join(labels, "feature"), metrics.score(pred, metric), curve)
+    return Refit(final, used, imp.join(labels, "feature"), metrics.score(pred, by), curve, history, main, pairs)
 
 
-def subset_and_refit(df: DataFrame, used: list[int], names: list[str], config: FitConfig, rounds: int, y: str = "y", x: str = "x") -> tuple[DataFrame, Booster]:
+def subset_and_refit(df: DataFrame, used: list[int], names: list[str], config: FitConfig, rounds: int, y: str = "y", x: str = "x", history: list[dict] | None = None, metric: str | None = None) -> tuple[DataFrame, Booster]:
     small = df.withColumn(x, pick(F.col(x), used))
-    return small, boosting.fit(small, config, rounds, [names[i] for i in used], x, y)
+    return small, boosting.fit(small, config, rounds, [names[i] for i in used], x, y, history=history, metric=metric)
+
+
+def yhat(df: DataFrame, model, x: str = "y_pred", out: str = "yhat") -> DataFrame:
+    """``df`` with what any estimator makes of the column ``x``, a number or an array.
+
+    A calibration curve (two numbers) and a Booster are known; of other objects the first of predict_proba (the second
+    class), decision_function and predict is called, on a matrix for each Arrow batch.
+    """
+    if isinstance(model, tuple) and len(model) == 2:
+        return df.withColumn(out, platt(F.col(x), *model))
+    if isinstance(model, Booster):
+        return boosting.predict(df, model, x, out)
+    name = next((n for n in ("predict_proba", "decision_function", "predict") if hasattr(model, n)), None)
+    if name is None:
+        raise ValueError(f"{type(model).__name__} predicts nothing")
+
+    @F.arrow_udf("double")
+    def call(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for b in batches:
+            m = matrix(b) if pa.types.is_list(b.type) else b.to_numpy(zero_copy_only=False).astype(float)[:, None]
+            found = np.asarray(getattr(model, name)(m)) if len(b) else np.zeros(0)
+            yield pa.array(found[:, 1] if found.ndim == 2 else found, pa.float64())
+
+    return df.withColumn(out, call(F.col(x)))
 
 
 def predict(df: DataFrame, variants: DataFrame, booster: Booster, x: str = "x") -> DataFrame:
     """``df`` with y_pred; predictors are matched by name, whatever the width."""
-    at = {r["name"]: r.variant_idx for r in variants.where(F.col("name").isin(booster.features)).collect()}
+    asked = df.sparkSession.createDataFrame([(f,) for f in booster.features], "name string").distinct()
+    at = {r["name"]: r.variant_idx for r in variants.join(asked, "name").collect()}  # as many as the model has predictors
     missing = [f for f in booster.features if f not in at]
     if missing:
         raise KeyError(f"{len(missing)} predictors of the model aren't in the data, such as {missing[0]!r}")
-    places = [at[f] for f in booster.features]
-    return boosting.predict(df.withColumn("_x", F.transform(F.array(*map(F.lit, places)), lambda i: F.get(F.col(x), i))), booster, "_x").drop("_x")
+    return boosting.predict(df.withColumn("_x", take(F.col(x), [at[f] for f in booster.features])), booster, "_x").drop("_x")
+
+
+def score_test(pred: DataFrame, y: str = "y", plain: str = "y", curve: tuple[float, float] | None = None) -> dict:
+    """The metric of ``y_pred`` against the label it was fitted to, and the AUC of calibrated scores against the plain one."""
+    _, by = objective_of(y)
+    out = {by.lower(): metrics.score(pred, by, y, "y_pred")}
+    if curve:
+        out["platt_auc"] = metrics.score(yhat(pred, curve, out="_p"), "AUC", plain, "_p")
+    return out
 
 
 def score_predictions(pred: DataFrame, covars: DataFrame, names: list[str], how: str = "both") -> tuple[dict, DataFrame]:

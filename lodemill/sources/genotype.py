@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from lodemill.functions.columns import with_row_index
 from lodemill.operators.boosting import Booster
 from lodemill.operators.folds import best_row
-from lodemill.operators.relational import check_covariates, check_samples
+from lodemill.operators import linear
+from lodemill.operators.relational import align_covariates, check_covariates, check_samples
 
 FAM = ["fid", "iid", "pat", "mat", "sex", "phenotype"]
 
@@ -26,9 +27,17 @@ def parse_raw(line: Column) -> list[Column]:
     return [*fam, x.alias("x")]
 
 
+def first_line(spark: SparkSession, path: str) -> str:
+    """Of the first file, in order of name, that has one; '' for none.  Spark itself reads the largest file first."""
+    for f in sorted(spark.read.text(path).inputFiles()):
+        row = spark.read.text(f).first()
+        if row:
+            return row[0]
+    return ""
+
+
 def header(spark: SparkSession, path: str) -> list[str]:
-    first = spark.read.text(path).first()
-    return first[0].strip().split() if first else []
+    return first_line(spark, path).strip().split()
 
 
 def recode_labels(df: DataFrame, col: str = "phenotype", out: str = "y") -> DataFrame:
@@ -37,6 +46,15 @@ def recode_labels(df: DataFrame, col: str = "phenotype", out: str = "y") -> Data
     return df.withColumn(out, F.col(col) - 1.0 if two else F.col(col))
 
 
+def _is_header(value: Column) -> Column:
+    return F.trim(value).rlike(r"^FID\s+IID\s")
+
+
+def count_raw_rows(spark: SparkSession, path: str) -> int:
+    """Samples of a text of dosages: its lines without headers and blank ones."""
+    return spark.read.text(path).where(~_is_header(F.col("value")) & (F.trim("value") != "")).count()
+
+
 def read_raw(spark: SparkSession, path: str, max_rows: int | None = None, skip_rows: int = 0) -> tuple[DataFrame, DataFrame]:
     """(samples, variants) of a text of dosages with a header; split like any text file, so no chunks are needed.
 
@@ -44,7 +62,7 @@ def read_raw(spark: SparkSession, path: str, max_rows: int | None = None, skip_r
     """
     names = header(spark, path)
     lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_m"))
-    body = lines.where(~F.trim("value").rlike(r"^FID\s+IID\s") & (F.trim("value") != ""))
+    body = lines.where(~_is_header(F.col("value")) & (F.trim("value") != ""))
     rows = with_row_index(body, "_f", "_b", "_m")
     rows = rows.where(F.col("row_idx") >= skip_rows).withColumn("row_idx", F.col("row_idx") - skip_rows)
     if max_rows is not None:
@@ -56,7 +74,7 @@ def read_raw(spark: SparkSession, path: str, max_rows: int | None = None, skip_r
 
 def read_covariates(spark: SparkSession, path: str, sep: str | None = None, check: bool = True) -> DataFrame:
     """FID, IID and numeric covariates; fields are split at ``sep``, or at any white space."""
-    names = header(spark, path) if sep is None else spark.read.text(path).first()[0].split(sep)
+    names = header(spark, path) if sep is None else first_line(spark, path).split(sep)
     lines = spark.read.text(path).where(F.trim("value") != "")
     v = F.split(F.trim("value"), r"\s+" if sep is None else sep)
     rows = lines.select(v.alias("v")).where(F.get("v", F.lit(0)) != names[0])
@@ -106,25 +124,27 @@ def read_container(spark: SparkSession, path: str, x: str = "x", y: str = "y", c
 
 
 def read_booster(spark: SparkSession, path: str) -> Booster:
-    return Booster.from_json("\n".join(r.value for r in spark.read.text(path).collect()))
+    """The model of a file or folder; says how many trees and features it has."""
+    booster = Booster.from_json("\n".join(r.value for r in spark.read.text(path).collect()))
+    print("trees, features:", *booster.summary().values())
+    return booster
 
 
 def simulate(spark: SparkSession, n: int, p: int, seed: int = 0) -> tuple[DataFrame, DataFrame]:
-    """Half cases, half controls; case allele frequencies uniform 0.05 to 0.5; the last two variants have odds ratios 3 and 5."""
-    import random
+    """Half cases, half controls; case allele frequencies uniform 0.05 to 0.5; the last two variants have odds ratios 3 and 5.
 
-    r = random.Random(seed)
-    maf = [r.uniform(0.05, 0.5) for _ in range(p)]
-    odds = [1.0] * (p - 2) + [3.0, 5.0] if p >= 2 else [1.0] * p
-    control = [m / (o * (1 - m) + m) for m, o in zip(maf, odds, strict=True)]
+    Frequencies and draws are hashes of the variant's and the row's number, so the plan is as short for any width.
+    """
+    uniform = lambda *of: F.pmod(F.xxhash64(*of), F.lit(1 << 30)) / float(1 << 30)
     rows = spark.range(n).select(F.col("id").alias("row_idx"), F.col("id").cast("string").alias("fid"), F.col("id").cast("string").alias("iid"), (F.col("id") % 2).cast("double").alias("y"))
 
-    def draw(j: int) -> Column:
-        u = [F.pmod(F.xxhash64("row_idx", F.lit(seed), F.lit(j), F.lit(k)), F.lit(1 << 30)) / float(1 << 30) for k in (0, 1)]
-        f = F.when(F.col("y") == 1, F.lit(maf[j])).otherwise(F.lit(control[j]))
-        return (u[0] < f).cast("double") + (u[1] < f).cast("double")
+    def draw(j: Column) -> Column:
+        maf = 0.05 + 0.45 * uniform(F.lit(seed), j, F.lit("maf"))
+        odds = F.when((j == p - 2) & F.lit(p >= 2), 3.0).when((j == p - 1) & F.lit(p >= 2), 5.0).otherwise(1.0)
+        f = F.when(F.col("y") == 1, maf).otherwise(maf / (odds * (1 - maf) + maf))
+        return (uniform("row_idx", F.lit(seed), j, F.lit(0)) < f).cast("double") + (uniform("row_idx", F.lit(seed), j, F.lit(1)) < f).cast("double")
 
-    samples = rows.withColumn("x", F.array(*map(draw, range(p)))).withColumn("phenotype", F.col("y") + 1)
+    samples = rows.withColumn("x", F.transform(F.sequence(F.lit(0), F.lit(p - 1)), draw)).withColumn("phenotype", F.col("y") + 1)
     names = [f"rs{1000 + 7 * j}_{'ACGT'[j % 4]}" for j in range(p - 2)] + ["rs7412_T", "rs429358_C"] if p >= 2 else [f"rs{j}_A" for j in range(p)]
     return samples, spark.createDataFrame(list(enumerate(names)), "variant_idx int, name string")
 
@@ -136,6 +156,14 @@ def simulate_covariates(samples: DataFrame, seed: int = 0) -> DataFrame:
     return samples.select(F.col("fid").alias("FID"), F.col("iid").alias("IID"), normal(1).alias("COV1"), normal(3).alias("COV2"), (_u(5) < 0.5).cast("double").alias("COV3"))
 
 
+def add_adjustment(samples: DataFrame, covars: DataFrame, y: str = "y", out: str = "y_adjusted") -> DataFrame:
+    """``samples`` with the label less its regression on the covariates (FID, IID, numbers); the intercept stays."""
+    names = covars.columns[2:]
+    rows = align_covariates(samples, covars.withColumnRenamed(covars.columns[1], "iid").drop(covars.columns[0]))
+    beta = linear.y_slopes(rows, names, y, "linear")
+    return rows.withColumn(out, linear.residual_expr(F.col(y), [F.col(c) for c in names], list(beta))).drop(*names)
+
+
 def print_summary(samples: DataFrame) -> None:
     samples.select("row_idx", "y", F.slice("x", 1, 10).alias("x")).limit(10).show(truncate=False)
     print(samples.count(), "rows")

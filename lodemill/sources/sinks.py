@@ -45,5 +45,6 @@ def write_selected(variants: DataFrame, support: list[bool], path: str, kind: st
     at = [i for i, s in enumerate(support) if s]
     if not at:
         return False
-    variants.where(F.col("variant_idx").isin(at)).select(F.substring_index("name", "_", 1)).write.mode("overwrite").text(f"{path}/{kind}_rsids")
+    chosen = variants.sparkSession.createDataFrame([(i,) for i in at], "variant_idx int")
+    variants.join(chosen, "variant_idx").select(F.substring_index("name", "_", 1)).write.mode("overwrite").text(f"{path}/{kind}_rsids")
     return True
