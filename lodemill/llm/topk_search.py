@@ -79,7 +79,8 @@ def top_k(vectors: DataFrame, every: int = 100, k: int = 10, chunk_bytes: int =
 
     Candidates are all rows with another vec_id.  Rows with null vec_id, null vectors and vectors with null, NaN or
     infinite components take no part; empty vectors score 0.  Of repeated vec_ids each row is a candidate and, if it
-    qualifies, one of them (the smallest vector) is the query.  Products are 64-bit.
+    qualifies, one of them (the smallest vector) is the query.  Scores are 64-bit; components that could
+    exceed them are an error.
     """
     spark = vectors.sparkSession
     rows = vectors.where(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).select(F.col("vec_id").cast("long").alias("vec_id"), integer_vector(F.col("embedding")).alias("v"))
@@ -104,11 +105,14 @@ def _one_pass(spark, rows: DataFrame, mine: pa.Table, width: int, k: int) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, q = sent.value
+        largest = int(np.abs(q).max(initial=0))
         best_s, best_i = [np.empty((0,), np.int64)] * len(ids), [np.empty((0,), np.int64)] * len(ids)
         for b in batches:
             for at in range(0, b.num_rows, BLOCK):
                 piece = b.slice(at, BLOCK)
                 who, block = piece.column(0).to_numpy(), np.asfortranarray(_matrix(piece.column(1), width))
+                if largest * int(np.abs(block).max(initial=0)) * width >= 1 << 63:
+                    raise OverflowError("components too large for 64-bit scores")
                 for lo in range(0, len(ids), TILE):
                     scores = accumulate(q[lo : lo + TILE], block)
                     for r, row in enumerate(scores):

@@ -459,6 +459,9 @@ def test_top_k(spark):
     for size in (topk_search.CHUNK_BYTES, 300):
         assert sorted(map(tuple, topk_search.top_k(d, chunk_bytes=size).collect())) == sorted(want)
     assert topk_search.top_k(d.limit(0)).count() == 0
+    huge = spark.createDataFrame([(100, [1e13, 1.0]), (7, [1e13, 0.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="too large for 64-bit"):
+        topk_search.top_k(huge).collect()
 
 
 def test_fingerprints(spark, docs, empty):
