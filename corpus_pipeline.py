@@ -13,6 +13,14 @@ from lodemill.llm.common import Scratch, read
 from lodemill.llm.queries import vocabulary
 
 
+#: Texts go to Python in batches of this size, not in 10,000 rows at once, which the JVM and the worker hold several times over.
+BATCH = "4m"
+
+
+def batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the line CRF scores 0.5 or more; it learns from ``documents`` and ``labels`` of ``sf_dir``.
 
@@ -20,6 +28,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     scored whole; repeated rows score alike; an empty table stays empty; other columns pass through, whatever their
     names.
     """
+    batches(spark)
     model = line_crf.fit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
     return line_crf.good_documents(docs, model)
 
@@ -30,6 +39,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null, empty and blank texts score 0 and stay; every window of a very long text counts; repeated rows score alike;
     an empty table stays empty; other columns pass through, whatever their names.
     """
+    batches(spark)
     model = zstd_toxicity.fit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
     return zstd_toxicity.clean_documents(docs, model)
 
@@ -40,6 +50,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null, empty and blank texts and rows without doc_id are duplicates of nothing and stay; rows of one doc_id are one
     document; an empty table stays empty; other columns pass through, whatever their names.
     """
+    batches(spark)
     return near_duplicates.distinct_documents(docs)
 
 
@@ -49,6 +60,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null source is a source; null and empty texts have no words and are taken as often as their source has epochs;
     repeated rows are taken alike; an empty table stays empty; other columns pass through, whatever their names.
     """
+    batches(spark)
     return mixing.mixed_documents(docs)
 
 
@@ -58,6 +70,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts have no ids; copies, which the mix puts side by side, are encoded once; an empty table stays
     empty; other columns are not read.
     """
+    batches(spark)
     rows = bpe_trie.encode_documents(docs, vocabulary())
     return bpe_trie.digests(rows, "ids")
 
