@@ -31,10 +31,6 @@ def pick(x: Column, index: list[int]) -> Column:
     return take(x, sorted(index))
 
 
-def dot(x: Column, beta: Column) -> Column:
-    return F.aggregate(F.zip_with(x, beta, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
-
-
 def sigmoid(z: Column) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
 

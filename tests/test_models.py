@@ -362,3 +362,89 @@ def test_forest_is_searched(spark, monkeypatch):
     assert abs(np.mean([x["maxDepth"] for x in draws]) - (2 + 2 * 0.55 / 0.45)) < 0.2
     some = [r.id for r in metrics.forest_sample(d, 100, 0).collect()]
     assert len(some) == 100 and 120 < np.mean(some) < 180 and sorted(some) == sorted(r.id for r in metrics.forest_sample(d.repartition(7), 100, 0).collect())
+
+
+def test_take_is_the_same_in_the_plan_and_out_of_it(spark):
+    from pyspark.sql import functions as F
+
+    from lodemill.functions import arrays
+
+    d = spark.createDataFrame([(1, [float(i) for i in range(100)]), (2, [1.0, None]), (3, [])], "k int, x array<double>")
+    few, many = [5, 1, 99], [5, 1, 99] * 30
+    assert len(many) > arrays.INLINE >= len(few)
+    a = {r.k: r.v for r in d.select("k", arrays.take(F.col("x"), few).alias("v")).collect()}
+    b = {r.k: r.v for r in d.select("k", arrays.take(F.col("x"), many).alias("v")).collect()}
+    assert a == {1: [5.0, 1.0, 99.0], 2: [None, None, None], 3: [None, None, None]} and b == {k: v * 30 for k, v in a.items()}
+    assert d.select(arrays.take(F.col("x"), []).alias("v")).first().v == []
+
+
+def test_plans_do_not_grow_with_the_width(spark):
+    from lodemill.operators import relational as R
+
+    s, v = genotype.simulate(spark, 20, 3000, 1)
+    some, kept = R.subset_columns(s, v, v.where("variant_idx % 2 = 1").select("name"), by_rsid=False)
+    assert len(some._jdf.queryExecution().analyzed().toString()) < 20_000
+    assert kept.count() == 1500 and all(len(r.x) == 1500 for r in some.select("x").collect())
+    m = boosting.fit(s, boosting.FitConfig(max_depth=1), 1)
+    assert boosting.predict(s, m).where("y_pred is null").count() == 0
+    a, _ = linear.adjust(s.withColumn("c", s.row_idx % 7), s.withColumn("c", s.row_idx % 7), ["c"])
+    assert all(len(r.x_adjusted) == 3000 for r in a.select("x_adjusted").collect())
+
+
+def test_estimators_by_what_they_offer(spark):
+    d = spark.createDataFrame([(1.0, [1.0, 2.0]), (2.0, [0.0, 5.0])], "p double, x array<double>")
+
+    class Proba:
+        def predict_proba(self, m):
+            return np.column_stack([1 - m[:, 0], m[:, 0]])
+
+        def predict(self, m):
+            raise AssertionError
+
+    class Sum:
+        def predict(self, m):
+            return m.sum(1)
+
+    assert [r.yhat for r in training.yhat(d, Proba(), "p").collect()] == [1.0, 2.0]
+    assert [r.yhat for r in training.yhat(d, Sum(), "x").collect()] == [3.0, 5.0]
+    assert training.yhat(d, (0.0, 0.0), "p").first().yhat == 0.5
+    with pytest.raises(ValueError):
+        training.yhat(d, object(), "p")
+
+
+def test_final_ranks_golden():
+    history = np.array([[0.9, 0.1, 0.5, 0.2, 0.3], [0.8, 0.2, 0.6, np.nan, 0.2]])
+    no = np.zeros(5, bool)
+    confirmed, weak = no.copy(), no.copy()
+    confirmed[0], weak[2] = True, True
+    assert boruta.final_ranks(history, confirmed, weak).tolist() == [1, 5, 2, 4, 3]
+    assert boruta.final_ranks(history, confirmed, no).tolist() == [1, 5, 2, 4, 3]
+    assert boruta.final_ranks(history, ~no, no).tolist() == [1] * 5
+    assert [n * boruta.shadow_copies(n) for n in (1, 2, 3, 4, 5, 9)] == [8, 8, 6, 8, 5, 9]
+
+
+def test_cut_points_have_a_bound(spark, monkeypatch):
+    monkeypatch.setattr(boosting, "CUT_BYTES", 100)
+    with pytest.raises(ValueError, match="max_bin"):
+        boosting.cut_points(frame(spark, np.random.default_rng(0).normal(size=(50, 2)), np.zeros(50)))
+
+
+def test_linkage_with_missing_dosages(spark):
+    from lodemill.operators import qc
+
+    rng = np.random.default_rng(3)
+    d = rng.integers(0, 3, (40, 6)).astype(float)
+    d[rng.random((40, 6)) < 0.2] = np.nan
+    d[:, 5] = 1.0
+    pos = [0, 900, 1500, 1600, 2600, 2600]
+    v = spark.createDataFrame([(j, 1, pos[j]) for j in range(6)], "variant int, chr int, pos long")
+    long = spark.createDataFrame([(str(i), j, None if np.isnan(d[i, j]) else float(d[i, j])) for i in range(40) for j in range(6)], "iid string, variant int, dosage double")
+    got = {(r.a, r.b): r.r2 for r in qc.ld_pairs(v, long, 1.0).collect()}
+    want = {}
+    for a in range(6):
+        for b in range(a + 1, 6):
+            if pos[b] - pos[a] <= 1000:
+                ok = ~np.isnan(d[:, a]) & ~np.isnan(d[:, b])
+                want[a, b] = None if b == 5 else np.corrcoef(d[ok, a], d[ok, b])[0, 1] ** 2
+    assert got.keys() == want.keys()
+    assert all(got[k] is None if w is None else abs(got[k] - w) < 1e-9 for k, w in want.items())
