@@ -10,7 +10,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from lodemill.llm import bpe_trie, html_text, line_crf, mixing, near_duplicates, phrase_prints, token_files, topk_search, url_filter, zstd_toxicity
+from lodemill.llm import bpe_trie, html_text, labelled, line_crf, mixing, near_duplicates, phrase_prints, token_files, topk_search, url_filter, zstd_toxicity
 from lodemill.llm.queries import vocabulary
 from lodemill.llm.star_components import components
 from lodemill.llm.common import Scratch
@@ -290,6 +290,22 @@ def test_toxicity_scores_are_compression_lengths():
     assert np.allclose(model.scores(texts), [brute(t) for t in texts])
 
 
+def test_samples_come_to_the_driver_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(labelled, "PART_BYTES", 20_000, raising=False)
+    rows = [(i, f"text {i} " * 100) for i in range(400)] + [(5, "less " * 100), (400, None), (401, "long " * 9000)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    marks = [(i, i % 2) for i in range(402)] + [(7, 0), (500, 1)]
+    frame, most = type(d), []
+    collect = frame.collect
+    monkeypatch.setattr(frame, "collect", lambda self: (out := collect(self), most.append(sum(len(getattr(r, "text", None) or "") for r in out)))[0])
+    got = labelled.sample(d, spark.createDataFrame(marks, "doc_id long, toxic int"), "toxic", labelled.F.col("doc_id") % 10 != 3, 90, 20_000)
+    place = lambda i: hashlib.md5(f"toxic|{i}".encode()).hexdigest()
+    usable = sorted((place(i), i) for i in range(400) if i != 7 and i % 10 != 3)
+    kept = sorted([x for x in usable if x[1] % 2 == 0][:90] + [x for x in usable if x[1] % 2 == 1][:90])
+    assert got == [("less " * 100 if i == 5 else f"text {i} " * 100, i % 2) for _, i in kept]
+    assert max(most) < 60_000
+
+
 def test_toxicity_needs_two_of_each_label():
     for rows in ([], [("a b", 1)], [("a", 0)] * 5, [("a b", 1), ("c", 0), ("d", 0)]):
         model = zstd_toxicity.train(rows)
