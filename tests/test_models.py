@@ -448,3 +448,27 @@ def test_linkage_with_missing_dosages(spark):
                 want[a, b] = None if b == 5 else np.corrcoef(d[ok, a], d[ok, b])[0, 1] ** 2
     assert got.keys() == want.keys()
     assert all(got[k] is None if w is None else abs(got[k] - w) < 1e-9 for k, w in want.items())
+
+
+def test_linkage_of_shared_columns_in_blocks_and_chunks(spark, monkeypatch):
+    """Variants that share dosages are correlated once; blocks of 3 columns and chunks of some 16 samples add up."""
+    from lodemill.operators import qc
+
+    monkeypatch.setattr(qc, "BLOCK", 3)
+    monkeypatch.setattr(qc, "CHUNK", 16)
+    rng = np.random.default_rng(4)
+    d = rng.integers(0, 3, (70, 7)).astype(float)
+    d[rng.random((70, 7)) < 0.3] = np.nan
+    d[:, 6] = np.nan
+    at = [(j, 1 + j % 2, 130 * j, j % 8) for j in range(40)]  # column 7 isn't there, 6 is never called
+    v = spark.createDataFrame(at, "variant int, chr int, pos long, column int")
+    long = spark.createDataFrame([(f"s{i}", j, None if np.isnan(d[i, j]) else float(d[i, j])) for i in range(70) for j in range(7)], "iid string, variant int, dosage double")
+    got = {(r.a, r.b): r.r2 for r in qc.ld_pairs(v, long, 1.0).collect()}
+    want = {}
+    for a, chr_a, pos_a, col_a in at:
+        for b, chr_b, pos_b, col_b in at:
+            if a < b and chr_a == chr_b and pos_b - pos_a <= 1000 and max(col_a, col_b) < 6:
+                ok = ~np.isnan(d[:, col_a]) & ~np.isnan(d[:, col_b])
+                want[a, b] = np.corrcoef(d[ok, col_a], d[ok, col_b])[0, 1] ** 2
+    assert got.keys() == want.keys()
+    assert all(abs(got[k] - w) < 1e-9 for k, w in want.items())
