@@ -472,3 +472,12 @@ def test_linkage_of_shared_columns_in_blocks_and_chunks(spark, monkeypatch):
                 want[a, b] = np.corrcoef(d[ok, col_a], d[ok, col_b])[0, 1] ** 2
     assert got.keys() == want.keys()
     assert all(abs(got[k] - w) < 1e-9 for k, w in want.items())
+
+
+def test_search_results_round_the_mean_number_of_rounds(spark, tmp_path):
+    """Means of 11.6 rounds are 12, as in the query's SQL."""
+    from lodemill.plans.registry import QUERIES
+
+    rows = [(k, 900.0) for k in (2, 212, 422, 842, 1262)]  # one set of parameters; 12, 10, 12, 12 and 12 rounds
+    spark.createDataFrame(rows, "p_partkey long, p_retailprice double").write.parquet(str(tmp_path / "part.parquet"))
+    assert [tuple(r) for r in QUERIES["search_results_read"](spark, str(tmp_path)).collect()] == [(0.003, 4, 12, 0.3)]
